@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import leximin, pairwise, survivor, topn
+from gleanframe.llm import leximin, packing, pairwise, survivor, topn
 from gleanframe.plans.registry import Registry, table
 
 LLM = Registry()
@@ -121,3 +121,21 @@ def p6_found(spark, sf):
 def p6_ranking(spark, sf):
     out = leximin.leximin_rank(_scored(spark, sf), "shoot", "photo_id", SCORES)
     return out.select("shoot", "photo_id", F.round("weakest", 9).alias("weakest"), "place")
+
+
+# ---- 8: filling fixed-capacity containers ------------------------------------------------------------------------------------------
+
+
+def _packed(spark, sf):
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@LLM.add("p8_found")
+def p8_found(spark, sf):
+    return _packed(spark, sf).where("pieces > 1").select("doc_id").distinct()
+
+
+@LLM.add("p8_containers")
+def p8_containers(spark, sf):
+    out = _packed(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
+    return out.withColumn("room", 2048 - F.col("tokens"))
