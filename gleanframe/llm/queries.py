@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import leximin, packing, pairwise, survivor, topn
+from gleanframe.llm import leximin, packing, pairwise, prose, survivor, topn
 from gleanframe.plans.registry import Registry, table
 
 LLM = Registry()
@@ -139,3 +139,18 @@ def p8_found(spark, sf):
 def p8_containers(spark, sf):
     out = _packed(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
     return out.withColumn("room", 2048 - F.col("tokens"))
+
+
+# ---- 10: per-document text quality statistics ----------------------------------------------------------------------------------------
+
+
+@LLM.add("p10_found")
+def p10_found(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return prose.judge(docs, "doc_id", "text").where("junk").select("doc_id").distinct()
+
+
+@LLM.add("p10_statistics")
+def p10_statistics(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return prose.judge(docs, "doc_id", "text")
