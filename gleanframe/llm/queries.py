@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import leximin, packing, pairwise, prose, survivor, topn
+from gleanframe.llm import leakage, leximin, packing, pairwise, prose, survivor, topn
 from gleanframe.plans.registry import Registry, table
 
 LLM = Registry()
@@ -154,3 +154,24 @@ def p10_found(spark, sf):
 def p10_statistics(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return prose.judge(docs, "doc_id", "text")
+
+
+# ---- 9: evaluation texts leaking into training text ----------------------------------------------------------------------------------
+
+
+def _leaks(spark, sf, **how):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "eval_items").select("item_id", "passage")
+    return leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", **how)
+
+
+@LLM.add("p9_found")
+def p9_found(spark, sf):
+    return _leaks(spark, sf).where("run >= 12").select("doc_id", "item_id").distinct()
+
+
+@LLM.add("p9_paraphrases")
+def p9_paraphrases(spark, sf):
+    """Documents that tell a passage in other words: most of its words in order and most of its answers, without a run of twelve."""
+    out = _leaks(spark, sf, cosine=0.7)
+    return out.where("run < 12 AND subsequence >= 0.5 AND answers >= 0.5").select("doc_id", "item_id", F.round("subsequence", 4).alias("subsequence"), F.round("answers", 4).alias("answers"))
