@@ -104,5 +104,6 @@ def pack(
         container[~full] = full.sum() + fill(v[~full], limit)
         return pd.DataFrame({"id": p.id.to_numpy()[i], "piece": piece, "pieces": pieces[i], "start": start, "tokens": size, "loss": bears, "container": (b << 32) + container})
 
-    out = spread.groupBy("block").applyInPandas(block, OUT.format(kind=kind))
+    # an explicit number keeps the small shuffle from being coalesced into few long tasks
+    out = spread.repartition(min(blocks, 20_000), "block").groupBy("block").applyInPandas(block, OUT.format(kind=kind))
     return out.withColumnRenamed("id", item)
