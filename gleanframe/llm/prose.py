@@ -62,11 +62,15 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     base = docs.select(col(doc).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
     # markup tags carry no words
     base = base.withColumn("t", F.regexp_replace("t", r"</?[A-Za-z][^<>\n]{0,200}>", ""))
-    base = base.withColumn("flat", F.trim(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}+", ""), r"(?U)[\s\p{Z}]+", " ")))
+    # single blanks stay as they are, so only line ends and runs are rewritten
+    base = base.withColumn("flat", F.trim(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}+", ""), r"(?U)[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " ")))
     base = base.withColumn("w", F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " ")))
-    base = base.withColumn("bare", F.transform("w", lambda x: F.translate(F.lower(F.regexp_replace(x, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), _ACCENTED, _BASES)))
+    bare = F.translate(F.lower(F.regexp_replace("flat", r"[^\p{L}\p{N} ]+", "")), _ACCENTED, _BASES)
+    base = base.withColumn("bare", F.filter(F.split(bare, " "), lambda x: x != ""))
     base = base.withColumn("ln", F.filter(F.split("t", r"\r\n|[\n\r\u0085  ]"), lambda x: x.rlike(r"(?U)[^\s\p{Z}\p{Cf}]")))
-    base = base.withColumn("solid", F.char_length(F.regexp_replace("flat", " ", "")))
+    n = F.size("w")
+    # blanks of the flat text stand between its words
+    solid = F.greatest(F.char_length("flat") - n + 1, F.lit(0))
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -75,27 +79,27 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Characters in the lines for which ``pred`` holds."""
         return F.aggregate("ln", F.lit(0), lambda acc, x: acc + F.when(pred(x), F.char_length(x)).otherwise(0))
 
-    n = F.size("w")
-    kept = lambda pattern: F.char_length(F.regexp_replace("flat", pattern, ""))
-    latin, vowels = kept(r"[^A-Za-z]"), kept(r"[^AEIOUYaeiouy]")
-    cells = lambda x: F.char_length(F.regexp_replace(x, r"[^|\t;,/·‖]", "")) + F.size(F.split(x, r" {3,}")) - 1
-    words_in = lambda x: F.size(F.split(F.trim(x), r"\s+"))
-    frequent = F.array(*[F.lit(x) for x in sorted({x.translate(str.maketrans(_ACCENTED, _BASES)) for x in COMMON})])
+    # counts of characters are lengths before and after removing their runs
+    of = lambda runs, c="flat": F.char_length(c) - F.char_length(F.regexp_replace(c, runs, ""))
+    latin, vowels = of("[A-Za-z]+"), of("[AEIOUYaeiouy]+")
+    cells = lambda x: F.regexp_count(x, F.lit(r"[|\t;,/·‖]| {3,}"))
+    lines_of = held(lambda x: F.lit(True))
+    frequent = sorted({x.translate(str.maketrans(_ACCENTED, _BASES)) for x in COMMON})
     return base.select(
         F.col("id").alias(doc),
         n.cast("double").alias("words"),
-        share(F.col("solid"), n).alias("mean_word"),
-        share(kept(r"[\p{L}\p{M}\p{Nd} ]"), F.col("solid")).alias("symbol_ratio"),
-        share(kept(r"[^\p{Nd}]"), F.col("solid")).alias("digit_ratio"),
-        share(F.size(F.filter("bare", lambda x: F.array_contains(frequent, x))), n).alias("common_ratio"),
+        share(solid, n).alias("mean_word"),
+        share(of(r"[^\p{L}\p{M}\p{Nd} ]+"), solid).alias("symbol_ratio"),
+        share(of(r"\p{Nd}+"), solid).alias("digit_ratio"),
+        share(F.size(F.filter("bare", lambda x: x.isin(frequent))), n).alias("common_ratio"),
         share(F.size(F.filter("ln", lambda x: x.rlike(r"(?U)[.!?…:;。！？؟][\"'”’»)\]*_]*\s*$"))), F.size("ln")).alias("line_end_ratio"),
-        share(held(lambda x: x.rlike(_LIST)), held(lambda x: F.lit(True))).alias("list_ratio"),
-        share(held(lambda x: (cells(x) >= 2) & (words_in(x) <= 3 * cells(x))), held(lambda x: F.lit(True))).alias("table_ratio"),
+        share(held(lambda x: x.rlike(_LIST)), lines_of).alias("list_ratio"),
+        share(held(lambda x: (cells(x) >= 2) & (F.regexp_count(x, F.lit(r"\S+")) <= 3 * cells(x))), lines_of).alias("table_ratio"),
         share(n, F.size("ln")).alias("words_per_line"),
         F.when(latin >= 20, vowels / latin).otherwise(0.4).alias("vowel_ratio"),
         F.coalesce(F.array_max(F.transform("w", F.char_length)), F.lit(0)).cast("double").alias("longest_word"),
         share(F.size(F.array_distinct("bare")), n).alias("distinct_ratio"),
-        share(F.char_length(F.regexp_replace("t", r"[^|\t;,/·‖={}\[\]<>\\]", "")), n).alias("delimiter_ratio"),
+        share(of(r"[|\t;,/·‖={}\[\]<>\\]+", "t"), n).alias("delimiter_ratio"),
         share(F.size(F.filter("w", lambda x: x.rlike(r"\p{L}\p{Nd}|\p{Nd}\p{L}|\p{Ll}\p{Lu}"))), n).alias("mixed_ratio"),
     )
 
