@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import leakage, leximin, packing, pairwise, prose, survivor, topn
+from gleanframe.llm import clusters, leakage, leximin, packing, pairwise, prose, survivor, topn
 from gleanframe.plans.registry import Registry, table
 
 LLM = Registry()
@@ -176,3 +176,20 @@ def p9_paraphrases(spark, sf):
     """Documents that tell a passage in other words: most of its words in order and most of its answers, without a run of twelve."""
     out = _leaks(spark, sf, cosine=0.7)
     return out.where("run < 12 AND subsequence >= 0.5 AND answers >= 0.5").select("doc_id", "item_id", F.round("subsequence", 4).alias("subsequence"), F.round("answers", 4).alias("answers"))
+
+
+# ---- 7: grouping records into similarity clusters --------------------------------------------------------------------------------------
+
+
+def _looks(spark, sf):
+    return clusters.alike_clusters(table(spark, sf, "photos").select("photo_id", "dino"), "photo_id", "dino")
+
+
+@LLM.add("p7_found")
+def p7_found(spark, sf):
+    return _looks(spark, sf).where("alike AND size >= 2").select("photo_id", "cluster_id").distinct()
+
+
+@LLM.add("p7_typical")
+def p7_typical(spark, sf):
+    return clusters.typical(_looks(spark, sf), "photo_id")
