@@ -15,6 +15,7 @@ The passages are the stated query set: they are taken in blocks of at most ``blo
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -30,6 +31,8 @@ from gleanframe.session import col, materialize
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
+# marks and invisible characters (combining, enclosing, format), by rule
+_UNSEEN = re.compile("[" + "".join(re.escape(chr(c)) for c in [*range(0x10000), *range(0xE0000, 0xE0080)] if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")) + "]+")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
@@ -40,8 +43,7 @@ def plain(text: str) -> str:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     return text.casefold()
 
 
@@ -53,10 +55,9 @@ class Runs:
     """Finds runs of consecutive words, whatever stands between the characters of a word or between words."""
 
     def __init__(self, text: str | None) -> None:
-        found = [(m.start(), m.group()) for m in _WORD.finditer(plain(text or ""))]
-        self.solid = "".join(w for _, w in found)
-        ends = np.cumsum([len(w) for _, w in found]) if found else np.zeros(0, dtype=np.int64)
-        self.edge = {0, *ends.tolist()}
+        self.words = words(text)
+        self.solid = "".join(self.words)
+        self.edge = {0, *itertools.accumulate(map(len, self.words))}
 
     def has(self, run: str) -> bool:
         at = self.solid.find(run)
@@ -68,6 +69,10 @@ class Runs:
 
     def longest(self, item: Sequence[str], least: int) -> int:
         """Words in the longest run of the item found, 0 below ``least``."""
+        half = (least + 1) // 2
+        # a run of `least` words holds one of these pieces whole
+        if least > 1 and not any("".join(item[i : i + half]) in self.solid for i in range(0, len(item) - half + 1, half)):
+            return 0
         best, i = 0, 0
         while i + max(least, best + 1) <= len(item):
             n = max(least, best + 1)
@@ -204,7 +209,8 @@ def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank
         for b in batches:
             out = []
             for doc, text, c in zip(b.doc, b.text, b.c):
-                runs, ws = Runs(text), words(text)
+                runs = Runs(text)
+                ws = runs.words
                 best: dict[int, tuple[float, int]] = {}
                 for x in c:
                     best[x["it"]] = max(best.get(x["it"], (-1.0, 0)), (x["cosine"], -x["pos"]))
