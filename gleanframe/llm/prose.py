@@ -65,9 +65,9 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     # single blanks stay as they are, so only line ends and runs are rewritten
     base = base.withColumn("flat", F.trim(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}+", ""), r"(?U)[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " ")))
     base = base.withColumn("w", F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " ")))
-    bare = F.lower(F.regexp_replace("flat", r"[^\p{L}\p{N} ]+", ""))
-    bare = F.when(F.octet_length(bare) > F.char_length(bare), F.translate(bare, _ACCENTED, _BASES)).otherwise(bare)
-    base = base.withColumn("bare", F.filter(F.split(bare, " "), lambda x: x != ""))
+    base = base.withColumn("bare", F.lower(F.regexp_replace("flat", r"[^\p{L}\p{N} ]+", "")))
+    folded = F.when(F.octet_length("bare") > F.char_length("bare"), F.translate("bare", _ACCENTED, _BASES)).otherwise(F.col("bare"))
+    base = base.withColumn("bare", F.filter(F.split(folded, " "), lambda x: x != ""))
     base = base.withColumn("ln", F.filter(F.split("t", r"\r\n|[\n\r\u0085  ]"), lambda x: x.rlike(r"(?U)[^\s\p{Z}\p{Cf}]")))
     n = F.size("w")
     # blanks of the flat text stand between its words
