@@ -22,8 +22,16 @@ from gleanframe.session import col, materialize
 PARTS = 16
 
 
-def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as unit float32 vectors, and which rows are valid: of ``dims`` finite values, not all zero."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, scaled first by their largest value so that neither huge nor tiny values leave the range of the squares."""
+    peak = np.abs(x).max(1, initial=0)
+    scaled = x / np.where(peak > 0, peak, 1)[:, None]
+    norm = np.sqrt((scaled.astype(np.float64) ** 2).sum(1))
+    return (scaled / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+
+
+def raw_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as float32, and which rows are valid: of ``dims`` finite values, not all zero. Others are zero rows."""
     n = len(column)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -35,12 +43,13 @@ def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
         out[good] = flat.reshape(-1, dims)
     finite = np.isfinite(out).all(1)
     out[~finite] = 0
-    # scaled first by the largest value, so that neither huge nor tiny values leave the range of the squares
-    peak = np.abs(out).max(1, initial=0)
-    good &= finite & (peak > 0)
-    scaled = out / np.where(peak > 0, peak, 1)[:, None]
-    norm = np.sqrt((scaled.astype(np.float64) ** 2).sum(1))
-    return (scaled / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32), good
+    return out, good & finite & out.any(1)
+
+
+def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`raw_matrix`, at length one."""
+    x, good = raw_matrix(column, dims)
+    return unit(x), good
 
 
 def hashed(batch: Mapping[str, pa.Array], weights: Mapping[str, float], dims: int) -> np.ndarray:
