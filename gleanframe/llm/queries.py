@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import clusters, leakage, leximin, packing, pairwise, prose, survivor, topn
+from gleanframe.llm import clusters, leakage, leximin, packing, pairwise, prose, survivor, topn, varied
 from gleanframe.plans.registry import Registry, table
 
 LLM = Registry()
@@ -193,3 +193,14 @@ def p7_found(spark, sf):
 @LLM.add("p7_typical")
 def p7_typical(spark, sf):
     return clusters.typical(_looks(spark, sf), "photo_id")
+
+
+# ---- 5: choosing a varied subset --------------------------------------------------------------------------------------------------------
+
+
+@LLM.add("p5_subset")
+def p5_subset(spark, sf):
+    """Of every shoot's candidates as many as the shoot asks keepers for, spread over views, buckets and moments."""
+    rows = table(spark, sf, "candidates").select("shoot", "id", "dino", "score", "moment", F.lower(F.regexp_replace("bucket", r"(?U)^\s+|\s+$", "")).alias("bucket"))
+    sizes = table(spark, sf, "shoots").select("shoot", F.col("keepers").alias("size"))
+    return varied.varied_subset(rows, "shoot", "id", "dino", "score", ["bucket", "moment"], sizes)
