@@ -62,15 +62,21 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     base = docs.select(col(doc).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
     # markup tags carry no words
     base = base.withColumn("t", F.regexp_replace("t", r"</?[A-Za-z][^<>\n]{0,200}>", ""))
+    # texts of ASCII alone need no Unicode classes here, which are slower
+    base = base.withColumn("ascii", F.octet_length("t") == F.char_length("t"))
+    base = base.withColumn("t", F.when(F.col("ascii"), F.col("t")).otherwise(F.regexp_replace("t", r"\p{Cf}+", "")))
     # single blanks stay as they are, so only line ends and runs are rewritten
-    base = base.withColumn("flat", F.trim(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}+", ""), r"(?U)[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " ")))
+    wide, narrow = r"(?U)[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", r"\s{2,}|[\t\n\r\f\x0B]"
+    base = base.withColumn("flat", F.trim(F.when(F.col("ascii"), F.regexp_replace("t", narrow, " ")).otherwise(F.regexp_replace("t", wide, " "))))
     base = base.withColumn("w", F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " ")))
     base = base.withColumn("bare", F.lower(F.regexp_replace("flat", r"[^\p{L}\p{N} ]+", "")))
     folded = F.when(F.octet_length("bare") > F.char_length("bare"), F.translate("bare", _ACCENTED, _BASES)).otherwise(F.col("bare"))
     base = base.withColumn("bare", F.filter(F.split(folded, " "), lambda x: x != ""))
     base = base.withColumn("ln", F.filter(F.split("t", r"\r\n|[\n\r\u0085  ]"), lambda x: x.rlike(r"(?U)[^\s\p{Z}\p{Cf}]")))
-    n = F.size("w")
-    # blanks of the flat text stand between its words
+    # blanks of the flat text stand between its words, so words are counted without cutting them out
+    n = F.when(F.col("flat") == "", 0).otherwise(F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "), F.lit(""))) + 1)
+    base = base.withColumn("n_words", n)
+    n = F.col("n_words")
     solid = F.greatest(F.char_length("flat") - n + 1, F.lit(0))
 
     def share(a: Column, b: Column) -> Column:
