@@ -26,15 +26,17 @@ def percentiles(rows: DataFrame, group: str, item: str, scores: Sequence[str], s
     s = [f"s{i}" for i in range(len(scores))]
     clean = lambda c: F.when(F.isnan(col(c).cast("double")), None).otherwise(col(c).cast("double") + F.lit(0.0))
     base = rows.select(col(group).alias("grp"), col(item).alias("item"), *[clean(c).alias(a) for c, a in zip(scores, s)]).dropna(subset=["grp", "item"])
-    sizes = base.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > split_rows).select("grp")
-    hot = [r[0] for r in sizes.limit(1001).collect()]
+    sizes = base.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > split_rows)
+    largest = sizes.orderBy(F.desc("n")).limit(1001).collect()
+    hot = [r["grp"] for r in largest]
+    sizes = sizes.select("grp")
     if not hot:
         return _whole(base, s)
     if len(hot) <= 1000:  # a short list is a literal, a long one a join
         is_hot = F.col("grp").isin(hot)
-        return _whole(base.where(~is_hot), s).unionByName(_pieces(base.where(is_hot), s, split_rows))
+        return _whole(base.where(~is_hot), s).unionByName(_pieces(base.where(is_hot), s, largest[0]["n"], split_rows))
     sizes = materialize(sizes, "hot")
-    return _whole(base.join(sizes, "grp", "left_anti"), s).unionByName(_pieces(base.join(sizes, "grp", "left_semi"), s, split_rows))
+    return _whole(base.join(sizes, "grp", "left_anti"), s).unionByName(_pieces(base.join(sizes, "grp", "left_semi"), s, largest[0]["n"], split_rows))
 
 
 def _mid(rank: Column, ties: Column, n: Column) -> Column:
@@ -57,11 +59,12 @@ def _whole(base: DataFrame, s: Sequence[str]) -> DataFrame:
     )
 
 
-def _pieces(base: DataFrame, s: Sequence[str], split_rows: int) -> DataFrame:
+def _pieces(base: DataFrame, s: Sequence[str], most: int, split_rows: int) -> DataFrame:
+    """Percentiles of large groups; ``most`` is the size of the largest, which is cut into pieces of about a quarter of ``split_rows``."""
     once = materialize(base.groupBy("grp", "item").agg(*[F.max(a).alias(a) for a in s]), "hot_rows")
     long = once.select("grp", "item", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(a).alias("v")) for i, a in enumerate(s)])).alias("x"))
     long = long.select("grp", "item", "x.s", "x.v")
-    parts = 1000
+    parts = int(min(1000, max(8, -(-4 * most // split_rows))))
     cuts = long.where("v IS NOT NULL").groupBy("grp", "s").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
     cuts = cuts.select("grp", "s", F.array_sort(F.array_distinct("cuts")).alias("cuts"))
     placed = long.join(cuts, ["grp", "s"], "left")
