@@ -68,3 +68,19 @@ def mean_vector(rows: DataFrame, keys: Sequence[str], vector: str, dims: int, ou
     if not unit:
         return means.withColumnRenamed("_m", out)
     return means.withColumn("_n", norm(F.col("_m")) + F.lit(epsilon)).select(*keys, F.transform("_m", lambda x: x / F.col("_n")).alias(out))
+
+
+def margins(v: Column, pairs: Sequence[tuple[str, Sequence[float], Sequence[float]]]) -> dict[str, Column]:
+    """For each named pair of stated vectors the difference of the dot products with the first and the second, and ``mean_margin``."""
+    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    out = {name: dot(v, lit([a - b for a, b in zip(good, bad)])) for name, good, bad in pairs}
+    total = None
+    for c in out.values():
+        total = c if total is None else total + c
+    return {**out, "mean_margin": total / len(out)} if out else {}
+
+
+def best_margin(views: Sequence[Column], good: Sequence[float], bad: Sequence[float]) -> Column:
+    """The largest margin over the views that are known; NULL where none is."""
+    each = [margins(v, [("m", good, bad)])["m"] for v in views]
+    return F.greatest(*each) if len(each) > 1 else each[0]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from gleanframe.plans.pipeline import PIPELINE
 from gleanframe.plans.registry import Query
 from gleanframe.plans.review import REVIEW
 from gleanframe.plans.scoring import SCORING
 from gleanframe.plans.selection import SELECTION
 from gleanframe.plans.sessions import SESSIONS
 
-REGISTRIES = [SESSIONS, SCORING, SELECTION, REVIEW]
+REGISTRIES = [SESSIONS, SCORING, SELECTION, REVIEW, PIPELINE]
 
 
 def queries() -> dict[str, Query]:

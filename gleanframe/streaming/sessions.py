@@ -39,3 +39,49 @@ def latest_by_key(batch: Callable[[DataFrame], None], key: str, order: str) -> C
         done.add(number)
 
     return run
+
+
+def stream_scenes(rows: DataFrame, key: str, time: str, item: str, vector: str, gap_seconds: float = 120.0, similarity: float = 0.8, lateness: str = "10 minutes") -> DataFrame:
+    """``key, item, scene, late`` of a stream: the scene fold with its running centroid, last time and number kept as state per key.
+
+    Rows of a micro-batch are taken in order of time. A row behind the key's last time cannot change what was given out: it gets the
+    current scene and ``late``. State of a key without rows for the watermark's ``lateness`` is dropped, and numbers go on from a count
+    that starts anew.
+    """
+    kind = dict(rows.dtypes)
+    good = rows.where(col(key).isNotNull() & col(time).isNotNull()).select(col(key).alias("key"), col(item).alias("item"), col(time).cast("timestamp").alias("t"), col(vector).cast("array<double>").alias("v"))
+
+    def run(k, batches, state):
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        scene, last, total = state.get if state.exists else (-1, None, [])
+        centre = np.array(total)
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        out = []
+        for i, t, v in pd.concat(frames).sort_values(["t", "item"], kind="stable")[["item", "t", "v"]].itertuples(index=False):
+            at = t.timestamp()
+            late = last is not None and at < last
+            x = np.asarray(v, dtype=float) if v is not None else None
+            x = x / np.linalg.norm(x) if x is not None and np.linalg.norm(x) > 0 else None
+            if not late:
+                near = float(x @ centre) / np.linalg.norm(centre) if x is not None and len(centre) == len(x) else None
+                if scene < 0 or at - last > gap_seconds or (near is not None and near < similarity):
+                    scene, centre = scene + 1, np.array([])
+                if x is not None:
+                    centre = x if not len(centre) else centre + x
+                last = at
+            out.append((k[0], i, scene, late))
+        state.update((scene, last, centre.tolist()))
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
+        yield pd.DataFrame(out, columns=["key", "item", "scene", "late"])
+
+    found = good.withWatermark("t", lateness).groupBy("key").applyInPandasWithState(
+        run, f"key {kind[key]}, item {kind[item]}, scene int, late boolean", "scene int, last double, total array<double>", "append", "EventTimeTimeout"
+    )
+    return found.withColumnsRenamed({"key": key, "item": item})

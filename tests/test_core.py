@@ -278,3 +278,85 @@ def test_reporting(spark):
     assert (r["a"], r["b"], r["n"]) == ("0.12", "12345.7", "") and "<rdf:li>a&amp;b</rdf:li>" in r["x"] and 'Rating="5"' in r["x"]
     df = spark.createDataFrame([(1, "A.jpg"), (2, "a.JPG"), (3, "b.jpg")], "id int, name string").withColumn("d", lit("x"))
     assert [r["target"] for r in reporting.unique_names(df, ["d"], "name", [F.col("id")]).orderBy("id").collect()] == ["A.jpg", "a_2.JPG", "b.jpg"]
+
+
+# ---- refinements, models, streams ------------------------------------------------------------------------------------------------------
+
+
+def test_refinements(spark):
+    from gleanframe.operators import refine
+
+    states = refine.source_states(spark.createDataFrame([("a", "h"), ("b", "h"), ("c", None), ("d", "h")], "file string, sha256 string"), spark.createDataFrame([("a", "h"), ("b", "x"), ("c", "h")], "file string, digest string"))
+    assert {r["file"]: r["state"] for r in states.collect()} == {"a": "available", "b": "changed", "c": "unverified", "d": "missing"}
+    picks = [("s", 1, "portrait", "lion", "rest", False), ("s", 2, "same", "lion", "Rest", True), ("s", 3, "action", "Lion ", "hunt", True), ("s", 4, "third", "lion", "drink", True), ("s", 5, "vague", "owl", "", True), ("s", 6, "bird", "eagle", "dive", False), ("s", 7, "late", "hare", "run", False), ("s", 8, "none", None, "run", False)]
+    df = spark.createDataFrame(picks, "s string, o int, id string, k string, d string, e boolean")
+    got = {r["item"]: r["reason"] for r in refine.capped_picks(df, ["s"], "o", "id", "k", "d", F.col("e"), 2, 3).collect()}
+    assert got == {"portrait": "", "same": "repeated kind", "action": "", "third": "repeated kind", "vague": "no detail", "bird": "", "late": "limit reached", "none": "no kind"}
+    paths = spark.createDataFrame([("/x/a/b.jpg",), ("/x/c.jpg",), ("/y/ab.jpg",)], "p string")
+    m = refine.match_suffix(paths, "p", spark.createDataFrame([("a/b.jpg",), ("b.jpg",), ("c.jpg",)], "f string"), "f")
+    assert {r["p"]: (r["f"], r["matches"]) for r in m.collect()} == {"/x/a/b.jpg": (None, 2), "/x/c.jpg": ("c.jpg", 1), "/y/ab.jpg": (None, 0)}
+    r = spark.createDataFrame([("g", 1, "a", 3.0, 2.0), ("g", 1, "b", 2.5, 2.0), ("g", 1, "c", 1.0, 0.5), ("g", 2, "d", 9.0, 1.0)], "g string, m int, id string, s double, f double")
+    assert [x["id"] for x in refine.close_focus_candidates(r, ["g"], "m", "id", "s", "f").orderBy("place").collect()] == ["a", "b"]
+    z = refine.refined_focus(spark.createDataFrame([("g", 1, "a", 0.5, 10.0), ("g", 1, "b", 0.0, 1000.0), ("g", 2, "c", 0.0, 5.0)], "g string, m int, id string, f double, d double"), ["g"], "m", "id", "f", "d")
+    assert {x["id"]: x["adjustment"] for x in z.collect()} == {"a": -1.5, "b": 1.0}
+
+
+def test_models_lose_only_the_bad_row(spark):
+    from gleanframe.functions.models import apply_model
+
+    def load():
+        def model(b):
+            if (b.x < 0).any():
+                raise ValueError("negative")
+            return pd.DataFrame({"y": b.x * 2})
+
+        return model
+
+    df = spark.createDataFrame([(i, float(i) if i != 3 else -1.0) for i in range(8)], "id int, x double").coalesce(1)
+    got = {r["id"]: (r["y"], r["error"]) for r in apply_model(df, ["id"], ["x"], load, "y double", batch=4).collect()}
+    assert got[3] == (None, "ValueError: negative") and all(got[i] == (2.0 * i, None) for i in range(8) if i != 3)
+
+
+def test_margins(spark):
+    v = F.array(lit(0.6), lit(0.8))
+    m = vectors.margins(v, [("a", [1, 0], [0, 1]), ("b", [0, 1], [0, 0])])
+    r = one(spark, **m, best=vectors.best_margin([v, lit(None).cast("array<double>")], [0, 1], [1, 0]))
+    assert (round(r["a"], 6), round(r["b"], 6), round(r["mean_margin"], 6), round(r["best"], 6)) == (-0.2, 0.8, 0.3, 0.2)
+
+
+def test_exif_tags():
+    import struct
+
+    from gleanframe.functions.exif import ISO, ORIENTATION, ORIGINAL, tags
+
+    for e, mark in (("<", b"II"), (">", b"MM")):
+        text = b"2021:03:01 10:00:00\0"
+        ifd0 = struct.pack(e + "H", 2) + struct.pack(e + "HHIHH", ORIENTATION, 3, 1, 6, 0) + struct.pack(e + "HHII", 0x8769, 4, 1, 38) + struct.pack(e + "I", 0)
+        sub = struct.pack(e + "H", 2) + struct.pack(e + "HHIHH", ISO, 3, 1, 800, 0) + struct.pack(e + "HHII", ORIGINAL, 2, len(text), 68) + struct.pack(e + "I", 0)
+        tiff = mark + struct.pack(e + "HI", 42, 8) + ifd0 + sub
+        tiff = tiff[:68] + b"\0" * (68 - len(tiff)) + text
+        jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xd9"
+        for data in (tiff, jpeg):
+            t = tags(data)
+            assert (t[ORIENTATION], t[ISO], t[ORIGINAL]) == (6, 800, "2021:03:01 10:00:00")
+        for cut in range(0, len(jpeg), 3):
+            tags(jpeg[:cut])
+    assert tags(None) == tags(b"") == tags(b"junk" * 9) == {}
+
+
+def test_stream_scenes_keep_their_centroid(spark, tmp_path):
+    from gleanframe.streaming.sessions import stream_scenes
+
+    ddl, src = "k string, t timestamp, id int, v array<double>", tmp_path / "in"
+    src.mkdir()
+    at = lambda s: T0 + timedelta(seconds=s)
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    q = stream_scenes(spark.readStream.schema(ddl).parquet(str(src)), "k", "t", "id", "v").writeStream.format("memory").queryName("scenes").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for batch in ([("a", at(0), 1, x), ("a", at(10), 2, x)], [("a", at(20), 3, [1.0, 0.05]), ("a", at(30), 4, y), ("b", at(0), 9, None)], [("a", at(5), 5, x), ("a", at(400), 6, y)]):
+            spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(str(src))
+            q.processAllAvailable()
+        got = {r["id"]: (r["scene"], r["late"]) for r in spark.table("scenes").collect()}
+    finally:
+        q.stop()
+    assert got == {1: (0, False), 2: (0, False), 3: (0, False), 4: (1, False), 9: (0, False), 5: (1, True), 6: (2, False)}
