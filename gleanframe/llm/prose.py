@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanframe.functions.vectors import let
 from gleanframe.session import col
 
 # Frequent function words of European languages.
@@ -72,7 +73,9 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     base = base.withColumn("bare", F.lower(F.regexp_replace("flat", r"[^\p{L}\p{N} ]+", "")))
     folded = F.when(F.octet_length("bare") > F.char_length("bare"), F.translate("bare", _ACCENTED, _BASES)).otherwise(F.col("bare"))
     base = base.withColumn("bare", F.filter(F.split(folded, " "), lambda x: x != ""))
-    base = base.withColumn("ln", F.filter(F.split("t", r"\r\n|[\n\r\u0085  ]"), lambda x: x.rlike(r"(?U)[^\s\p{Z}\p{Cf}]")))
+    # ASCII texts have no other line ends than these two, and a cut at one character needs no pattern; blank lines are dropped anyway
+    lines = F.when(F.col("ascii"), F.split(F.replace("t", F.lit("\r"), F.lit("\n")), "\n")).otherwise(F.split("t", r"\r\n|[\n\r\u0085\u2028\u2029]"))
+    base = base.withColumn("ln", F.filter(lines, lambda x: x.rlike(r"(?U)[^\s\p{Z}\p{Cf}]")))
     # blanks of the flat text stand between its words, so words are counted without cutting them out
     n = F.when(F.col("flat") == "", 0).otherwise(F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "), F.lit(""))) + 1)
     base = base.withColumn("n_words", n)
@@ -99,9 +102,9 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
         share(of(r"[^\p{L}\p{M}\p{Nd} ]+"), solid).alias("symbol_ratio"),
         share(of(r"\p{Nd}+"), solid).alias("digit_ratio"),
         share(F.size(F.filter("bare", lambda x: x.isin(frequent))), n).alias("common_ratio"),
-        share(F.size(F.filter("ln", lambda x: x.rlike(r"(?U)[.!?…:;。！？؟][\"'”’»)\]*_]*\s*$"))), F.size("ln")).alias("line_end_ratio"),
+        share(F.size(F.filter("ln", lambda x: F.right(F.rtrim(x), F.lit(12)).rlike(r"(?U)[.!?…:;。！？؟][\"'”’»)\]*_]*\s*$"))), F.size("ln")).alias("line_end_ratio"),
         share(held(lambda x: x.rlike(_LIST)), lines_of).alias("list_ratio"),
-        share(held(lambda x: (cells(x) >= 2) & (F.regexp_count(x, F.lit(r"\S+")) <= 3 * cells(x))), lines_of).alias("table_ratio"),
+        share(held(lambda x: let(cells(x), lambda c: (c >= 2) & (F.regexp_count(x, F.lit(r"\S+")) <= 3 * c))), lines_of).alias("table_ratio"),
         share(n, F.size("ln")).alias("words_per_line"),
         F.when(latin >= 20, vowels / latin).otherwise(0.4).alias("vowel_ratio"),
         F.coalesce(F.array_max(F.transform("w", F.char_length)), F.lit(0)).cast("double").alias("longest_word"),
