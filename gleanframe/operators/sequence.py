@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.operators.sessions import mark_sessions
-from gleanframe.session import col
+from gleanframe.session import col, spread
 
 
 def _unit(v) -> np.ndarray | None:
@@ -126,7 +126,7 @@ def _fold(rows: DataFrame, key: str, tie: Sequence[str], time: str, gap: float,
         times = [None if pd.isna(m) else m / 1e6 for m in pdf.m_micros]
         return run(pdf, times)[[*names, "segment", *[f.split()[0] for f in fields.split(", ")]]]
 
-    return cut.groupBy(key, "segment").applyInPandas(apply, f"{ddl}, segment long, {fields}")
+    return spread(cut, key, "segment").groupBy(key, "segment").applyInPandas(apply, f"{ddl}, segment long, {fields}")
 
 
 def cluster_scenes(rows: DataFrame, key: str, time: str, vector: str, tie: Sequence[str], gap_seconds: float = 120.0, similarity: float = 0.80) -> DataFrame:

@@ -11,6 +11,7 @@ from gleanframe.plans.registry import Registry, table
 from gleanframe.plans.review import SEL, selections, votes
 from gleanframe.plans.scoring import _SCORE, U, photos, r6
 from gleanframe.plans.selection import C, scored
+from gleanframe.session import materialize, spread
 
 PIPELINE = Registry()
 SIMILAR = 0.9
@@ -37,7 +38,8 @@ def select_photos(spark, sf):
     """Every photo with ``selected`` and ``decision``: picks per day and label under budgets, none a near copy of another pick of its day."""
     rows = photos(spark, sf, "day", "label", "aesthetic", "sharpness", "subject_sharpness", "clip_high", "clip_low", "subject", "edge", "composition_bonus", "reject", "dino")
     rows = scoring.score(rows, ["day", "label"]).withColumn("label", F.coalesce("label", F.lit("none")))
-    rows = vectors.with_unit(rows, "dino", "v", 64).select("photo_id", "day", "label", "score", "reject", "v")
+    # four plans below read the scored rows; they are made once
+    rows = materialize(vectors.with_unit(spread(rows, "photo_id"), "dino", "v", 64).select("photo_id", "day", "label", "score", "reject", "v"), "scored")
     open_rows = rows.where("reject = ''")
     budgets = open_rows.groupBy("day", "label").agg(sc.pick_budget(F.count("*")).alias("budget"))
     picks = selection.greedy_select(open_rows, ["day"], "photo_id", "label", "score", "v", budgets, dup_sim=SIMILAR).select("photo_id", F.lit(True).alias("picked"))
@@ -45,7 +47,7 @@ def select_photos(spark, sf):
     held = open_rows.join(picks, "photo_id").groupBy("day").agg(F.collect_list(F.struct(F.col("photo_id").alias("id"), "v")).alias("held"))
     r = rows.join(picks, "photo_id", "left").join(held, "day", "left")
     like = F.array_min(F.transform(F.filter("held", lambda h: F.coalesce(vectors.dot(h["v"], F.col("v")) >= SIMILAR, F.lit(False))), lambda h: h["id"]))
-    r = r.withColumn("selected", F.coalesce("picked", F.lit(False))).withColumn("like", F.when(~F.col("selected") & (F.col("reject") == ""), like))
+    r = spread(r, "photo_id").withColumn("selected", F.coalesce("picked", F.lit(False))).withColumn("like", F.when(~F.col("selected") & (F.col("reject") == ""), like))
     text = F.when(F.col("reject") != "", F.concat(F.lit("Rejected: "), "reject")).when(F.col("selected"), "Selected by score")
     text = text.when(F.col("like").isNotNull(), F.concat(F.lit("Similar to selected "), F.col("like").cast("string"))).otherwise("Group budget filled")
     return r.select("photo_id", "selected", text.alias("decision"))

@@ -73,3 +73,11 @@ def forget(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by the keys into as many tasks as the session asks for.
+
+    Adaptive execution joins small shuffles into few tasks by their bytes; before work that is heavy for its bytes the number is given.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[col(k) for k in keys])
