@@ -43,11 +43,9 @@ def select_photos(spark, sf):
     open_rows = rows.where("reject = ''")
     budgets = open_rows.groupBy("day", "label").agg(sc.pick_budget(F.count("*")).alias("budget"))
     picks = selection.greedy_select(open_rows, ["day"], "photo_id", "label", "score", "v", budgets, dup_sim=SIMILAR).select("photo_id", F.lit(True).alias("picked"))
-    # the picks of a day are bounded by its budgets, so they travel as one array
-    held = open_rows.join(picks, "photo_id").groupBy("day").agg(F.collect_list(F.struct(F.col("photo_id").alias("id"), "v")).alias("held"))
-    r = rows.join(picks, "photo_id", "left").join(held, "day", "left")
-    like = F.array_min(F.transform(F.filter("held", lambda h: F.coalesce(vectors.dot(h["v"], F.col("v")) >= SIMILAR, F.lit(False))), lambda h: h["id"]))
-    r = spread(r, "photo_id").withColumn("selected", F.coalesce("picked", F.lit(False))).withColumn("like", F.when(~F.col("selected") & (F.col("reject") == ""), like))
+    left_out = open_rows.join(picks, "photo_id", "left_anti")
+    like = selection.resembled(left_out, open_rows.join(picks, "photo_id", "left_semi"), ["day"], "photo_id", "v", SIMILAR)
+    r = rows.join(picks, "photo_id", "left").join(like, "photo_id", "left").withColumn("selected", F.coalesce("picked", F.lit(False)))
     text = F.when(F.col("reject") != "", F.concat(F.lit("Rejected: "), "reject")).when(F.col("selected"), "Selected by score")
     text = text.when(F.col("like").isNotNull(), F.concat(F.lit("Similar to selected "), F.col("like").cast("string"))).otherwise("Group budget filled")
     return r.select("photo_id", "selected", text.alias("decision"))
