@@ -102,6 +102,19 @@ def suffix_matches(spark, sf):
     return refine.match_suffix(s.where("place <= 40").select(F.concat(F.lit("/archive/x/"), "id").alias("path")), "path", declared, "file")
 
 
+@PIPELINE.add("suffix_matches_all")
+def suffix_matches_all(spark, sf):
+    """As ``suffix_matches``, of all files and paths of every shoot: every second file is declared by its path, the others by name.
+
+    The SQL of ``suffix_matches`` takes the first 20 files and 40 paths of a shoot, as its join compares each path with each file.
+    """
+    from gleanframe.functions import texts
+
+    s = selections(spark, sf).select("id", "place")
+    declared = s.select(F.when(F.col("place") % 2 == 0, F.col("id")).otherwise(texts.base_name(F.col("id"))).alias("file"))
+    return refine.match_suffix(s.select(F.concat(F.lit("/archive/x/"), "id").alias("path")), "path", declared, "file")
+
+
 @PIPELINE.add("capped_winners")
 def capped_winners(spark, sf):
     """Winners of a shoot's votes by number of wins: at most two of a label, the second from another scene, twelve in all."""

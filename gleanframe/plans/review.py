@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanframe.functions import texts
-from gleanframe.operators import decisions, evaluation, reporting
+from gleanframe.operators import decisions, evaluation, reporting, selection
 from gleanframe.plans.registry import Registry, table
 from gleanframe.plans.selection import C, candidates
 from gleanframe.sources import features, files
@@ -221,9 +221,9 @@ def matched_reports(spark, sf):
 
 @REVIEW.add("parsed_replies")
 def parsed_replies(spark, sf):
-    """Ranked replies written as JSON inside prose and read back: one row per pick."""
-    best = F.slice(F.array_sort(F.collect_list("id")), 1, 12)
-    groups = candidates(spark, sf, "shoot", "scene").groupBy("shoot", "scene").agg(best.alias("ids"))
+    """Ranked replies written as JSON inside prose and read back: one row per pick, a scene's items in replies of at most 12 each."""
+    rows = selection.balanced_chunks(candidates(spark, sf, "shoot", "scene").where("id IS NOT NULL"), ["shoot", "scene"], [F.col("id")], 12)
+    groups = rows.groupBy("shoot", "scene", "chunk").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     picks = F.transform(F.sequence(F.lit(0), F.size("ids") + 1), lambda i: F.concat(F.lit('{"photo": '), i.cast("string"), F.lit(', "reason": "clear \\"eye\\""}')))
     reply = F.concat(F.lit('Here is my answer:\n{"picks": ['), F.array_join(picks, ", "), F.lit(', 1, "x"]}\nThanks.'))
-    return groups.select("shoot", "scene", F.posexplode(texts.ranked_picks(reply, F.col("ids"))).alias("place", "id"))
+    return groups.select("shoot", "scene", "chunk", F.posexplode(texts.ranked_picks(reply, F.col("ids"))).alias("place", "id"))

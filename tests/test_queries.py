@@ -41,3 +41,21 @@ def test_query(spark, con, name):
     key = sorted(names)
     want = sorted((tuple(verify.plain(r[names.index(k)]) for k in key) for r in cur.fetchall()), key=repr)
     assert sorted((tuple(verify.plain(r[k]) for k in key) for r in df.collect()), key=repr) == want
+
+
+def test_suffixes_of_all_files_and_paths(spark, con):
+    """Against the SQL of the capped query with its caps taken away: each path is compared with each file."""
+    sql = catalogue.oracle_sql()["suffix_matches"]
+    whole = sql.replace(" WHERE place <= 20", "").replace(" WHERE place <= 40", "")
+    assert whole.count("place <=") == sql.count("place <=") - 2
+    cur = con.execute(whole)
+    at = [[d[0] for d in cur.description].index(c) for c in ("path", "file", "matches")]
+    want = sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr)
+    got = sorted((tuple(r) for r in catalogue.queries()["suffix_matches_all"](spark, SF).select("path", "file", "matches").collect()), key=repr)
+    assert got == want and len(got) > len(con.execute(sql).fetchall())
+
+
+def test_replies_name_every_candidate(spark, con):
+    ids = [r[0] for r in con.execute("SELECT DISTINCT id FROM candidates WHERE id IS NOT NULL").fetchall()]
+    rows = catalogue.queries()["parsed_replies"](spark, SF).collect()
+    assert sorted(r["id"] for r in rows) == sorted(ids) and max(r["place"] for r in rows) <= 11
