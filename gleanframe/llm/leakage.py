@@ -7,7 +7,8 @@ and a stride of at most ``least - width + 1`` words every run of ``least`` words
 whose weight lies mostly on words no passage has cannot reach the cosine and are dropped before the search.
 
 Candidates are then checked on the whole text: the longest run of consecutive words (case, accents, punctuation, spacing, markup and
-invisible characters aside), the longest common subsequence around the window, and how many of the passage's answer words occur there.
+invisible characters aside). Around every window found are measured the longest common subsequence and how many of the passage's answer
+words occur there; the place where the lesser of the two shares is greatest stands for the pair.
 
 The passages are the stated query set: they are taken in blocks of at most ``block_items`` items, each searched against all documents.
 """
@@ -89,17 +90,26 @@ class Runs:
 
 def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
-    at: dict[str, int] = {}
+    at = _places(a)
+    return _common(len(a), at, (w for w in b if w in at))
+
+
+def _places(a: Sequence) -> dict:
+    """Of each word the bits of its places."""
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _common(n: int, at: dict, b) -> int:
+    """Length of the longest common subsequence of the ``n`` words of ``at`` and of ``b``, which holds no others."""
+    full = (1 << n) - 1
     row = full
     for w in b:
-        m = at.get(w)
-        if m:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return len(a) - bin(row).count("1")
+        u = row & at[w]
+        row = ((row + u) | (row - u)) & full
+    return n - row.bit_count()
 
 
 def leaks(
@@ -109,8 +119,8 @@ def leaks(
     """``<doc>, <item>, cosine, run, subsequence, answers`` for every candidate pair of the latent search.
 
     ``cosine`` is the best of the pair's windows, ``run`` the words of the longest consecutive run (0 below ``least``), ``subsequence``
-    the share of the passage's words in the longest common subsequence around the best window, ``answers`` the share of its answer words
-    (numbers and its rarest words) that occur there. A window pair found by the latent cosine
+    the share of the passage's words in the longest common subsequence around a window, ``answers`` the share of its answer words
+    (numbers and its rarest words) that occur there, both at the one window of the pair where the lesser of them is greatest. A window pair found by the latent cosine
     counts if its plain TF-IDF cosine is at least ``confirm``. A basis is fitted on all passage windows and at most ``fit_windows`` document
     windows; the search covers all documents whole.
 
@@ -175,6 +185,13 @@ def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank
     tables = spark.sparkContext.broadcast((basis, weight, latent, row.astype(np.int32)))
     index_of = spark.sparkContext.broadcast(index)
 
+    rare = weight[:v]
+    measures = []
+    for m, (_, ws) in zip(mine, items):
+        top = {w for _, w in sorted({(-float(rare[i]), w) for i, w in zip(m, ws)})[:5]}
+        measures.append((len(m), _places(m.tolist()), Counter(number[w] for w in ws if w.isdigit() or w in top)))
+    measured = spark.sparkContext.broadcast(measures)
+
     def candidates(batches):
         basis, weight, latent, owner = tables.value
         for b in batches:
@@ -195,44 +212,59 @@ def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank
                 i, j = np.nonzero(sims >= cosine - 1e-5)
                 true = _cosine(x[i], index_of.value[j], weight) >= confirm
                 i, j = i[true], j[true]
-                d.append(r[i]), it.append(owner[j]), cs.append(sims[i, j]), po.append(a[i] - ids.offsets.to_numpy()[r[i]] + ids.offsets.to_numpy()[0])
+                d.append(r[i]), it.append(owner[j]), cs.append(sims[i, j]), po.append(a[i])
             if d:
-                best = pd.DataFrame({"d": np.concatenate(d), "it": np.concatenate(it), "cosine": np.concatenate(cs).astype(float), "pos": np.concatenate(po)})
-                best = best.sort_values("cosine", ascending=False, kind="stable").drop_duplicates(["d", "it"])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(best.d)), pa.array(best.it, pa.int32()), pa.array(best.cosine, pa.float64()), pa.array(best.pos, pa.int32())], ["doc", "it", "cosine", "pos"])
-
-    pairs = coded.mapInArrow(candidates, f"doc {kind}, it int, cosine double, pos int")
+                hits = pd.DataFrame({"d": np.concatenate(d), "it": np.concatenate(it), "cosine": np.concatenate(cs).astype(float), "at": np.concatenate(po)})
+                ends, coded_words = np.concatenate([[0], np.cumsum(lengths)]).tolist(), flat.tolist()
+                best: dict[tuple[int, int], tuple[float, ...]] = {}
+                top: dict[tuple[int, int], float] = {}
+                for dd, ii, a, c in hits.groupby(["d", "it", "at"], as_index=False).cosine.max()[["d", "it", "at", "cosine"]].itertuples(index=False):
+                    n, places, want = measured.value[ii]
+                    near = [w for w in coded_words[max(ends[dd], a - n) : min(ends[dd + 1], a + width + n)] if w in places]
+                    had = best.get((dd, ii), (-1.0,))
+                    best[dd, ii] = max(had, _told(n, places, want, near, had[0]))
+                    top[dd, ii] = max(c, top.get((dd, ii), c))
+                keys = list(best)
+                column = lambda values: pa.array(values, pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.int32()), column([top[k] for k in keys]), column([best[k][2] for k in keys]), column([best[k][3] for k in keys])],
+                    ["doc", "it", "cosine", "subsequence", "answers"],
+                )
+
+    pairs = coded.mapInArrow(candidates, f"doc {kind}, it int, cosine double, subsequence double, answers double")
     # all candidates of a document, at most one per item of the block; the whole text is read once for them
-    per = materialize(pairs.groupBy("doc").agg(F.collect_set(F.struct("it", "cosine", "pos")).alias("c")), "pairs")
+    per = materialize(pairs.groupBy("doc").agg(F.collect_set(F.struct("it", "cosine", "subsequence", "answers")).alias("c")), "pairs")
     with_text = per.join(texts.withColumnRenamed("doc", "d2"), F.col("doc") == F.col("d2")).select("doc", "text", "c")
     passages = spark.sparkContext.broadcast([(i, ws) for i, ws in items])
-    rare = weight[:v]
-    answer = []
-    for m, (_, ws) in zip(mine, items):
-        top = {w for _, w in sorted({(-float(rare[i]), w) for i, w in zip(m, ws)})[:5]}
-        answer.append(Counter(w for w in ws if w.isdigit() or w in top))
-    answers = spark.sparkContext.broadcast(answer)
 
     def verify(batches):
         for b in batches:
             out = []
             for doc, text, c in zip(b.doc, b.text, b.c):
                 runs = Runs(text)
-                ws = runs.words
-                best: dict[int, tuple[float, int]] = {}
+                longest: dict[int, int] = {}
                 for x in c:
-                    best[x["it"]] = max(best.get(x["it"], (-1.0, 0)), (x["cosine"], -x["pos"]))
-                for it, (cs, pos) in best.items():
-                    name, passage = passages.value[it]
-                    near = ws[max(0, -pos - len(passage)) : -pos + width + len(passage)]
-                    have, want = Counter(near), answers.value[it]
-                    found = sum(min(k, have[w]) for w, k in want.items()) / max(1, sum(want.values()))
-                    out.append((doc, name, cs, runs.longest(passage, least), common_subsequence(passage, near) / len(passage), found))
+                    name, passage = passages.value[x["it"]]
+                    if x["it"] not in longest:
+                        longest[x["it"]] = runs.longest(passage, least)
+                    out.append((doc, name, x["cosine"], longest[x["it"]], x["subsequence"], x["answers"]))
             yield pd.DataFrame(out, columns=["doc", "item", "cosine", "run", "subsequence", "answers"])
 
     found = with_text.mapInPandas(verify, f"doc {kind}, item {item_kind}, cosine double, run int, subsequence double, answers double")
     # a document given again counts once
-    return found.groupBy("doc", "item").agg(*[F.max(x).alias(x) for x in ("cosine", "run", "subsequence", "answers")])
+    place = F.struct(F.least("subsequence", "answers"), F.col("subsequence") + F.col("answers"), "subsequence", "answers")
+    once = found.groupBy("doc", "item").agg(F.max("cosine").alias("cosine"), F.max("run").alias("run"), F.max(place).alias("p"))
+    return once.select("doc", "item", "cosine", "run", "p.subsequence", "p.answers")
+
+
+def _told(n: int, places: dict, want: Counter, near: list[int], least: float) -> tuple[float, ...]:
+    """The lesser and the sum of the shares, then the shares: of the passage in a common subsequence with its words near a window, and of
+    its answers among them. Where the answers alone stay below ``least``, which no place below counts against, the subsequence is not made."""
+    answers = sum(min(k, near.count(w)) for w, k in want.items()) / max(1, sum(want.values()))
+    if answers < least:
+        return (-1.0,)
+    told = _common(n, places, near) / n
+    return (min(told, answers), told + answers, told, answers)
 
 
 def _latent(windows: np.ndarray, basis: np.ndarray, weight: np.ndarray) -> np.ndarray:

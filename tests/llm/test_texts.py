@@ -103,6 +103,19 @@ def test_paraphrase_measures(spark):
     assert len(r) == 1 and r[0]["run"] == 0 and r[0]["subsequence"] == 1.0 and r[0]["answers"] == 1.0
 
 
+def test_paraphrase_beside_shared_phrasing(spark):
+    """The best window stands on words copied elsewhere; the place that tells the passage counts, before or after it."""
+    told = " ".join(w + (" indeed" if i % 5 == 4 else "") for i, w in enumerate(ITEM.split()))
+    copied, gap = " ".join(ITEM.split()[3:12]), " filler" * 90 + " "
+    texts = [copied + gap + told, told + gap + copied, gap.join([copied, told, copied]), copied]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    ev = spark.createDataFrame([(7, ITEM), (8, OTHER)], "item long, passage string")
+    got = {(r["doc"], r["item"]): r for r in leakage.leaks(docs, "doc", "text", ev, "item", "passage", cosine=0.7).collect()}
+    assert set(got) == {(d, 7) for d in range(4)} and all(r["cosine"] > 0.99 and r["run"] == 0 for r in got.values())
+    assert all(got[d, 7]["subsequence"] == got[d, 7]["answers"] == 1.0 for d in range(3))
+    assert got[3, 7]["subsequence"] == pytest.approx(9 / len(ITEM.split())) and got[3, 7]["answers"] < 1
+
+
 def test_common_subsequence_equals_table():
     r = random.Random(0)
     for _ in range(40):
