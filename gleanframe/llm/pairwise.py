@@ -1,4 +1,4 @@
-"""Global ranking from pairwise comparisons: regularised logistic strengths by minorisation-maximisation.
+"""Global ranking from pairwise comparisons: regularised logistic strengths by distributed minorisation-maximisation.
 
 Votes are first aggregated to win counts per pair. The model says item i beats j with probability s_i / (s_i + s_j); every item also
 plays ``prior`` wins and ``prior`` losses against a fixed opponent of strength 1, which keeps rarely compared items near the middle and
@@ -8,8 +8,11 @@ makes unconnected parts of a group comparable through that opponent only. Each s
 
 which never lowers the penalised likelihood. Standard errors of log s come from its curvature.
 
-Groups of at most ``block_pairs`` aggregated pairs are fitted in one task each; a larger group is fitted by the same step as joins and
-aggregates over its pair table, so no task holds it.
+Every pair is a row of both its ends. The ends of a group are cut by their item into blocks of about ``block_ends`` rows; a block takes
+steps on its own items, the strengths of all others held, until they stand still, and then the blocks exchange strengths. The map from
+the strengths outside a block to those inside rises with every strength and less than in proportion, so repeating it converges from any
+start; between exchanges a squared extrapolation shortens the way. A group of one block has nobody outside and is done after the first
+exchange; all groups follow the same steps to the same tolerance.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.graph import components
-from gleanframe.session import col, forget, materialize
+from gleanframe.operators.ranks import numbered
+from gleanframe.session import col, forget, materialize, spread
 
 
 def win_counts(votes: DataFrame, group: str, winner: str, loser: str, vote: str | None) -> DataFrame:
@@ -34,96 +38,149 @@ def win_counts(votes: DataFrame, group: str, winner: str, loser: str, vote: str
 
 
 def rank_comparisons(
-    votes: DataFrame, group: str, winner: str, loser: str, vote: str | None = None, prior: float = 1.0, block_pairs: int = 1_000_000, tolerance: float = 1e-6, rounds: int = 1000
-) -> DataFrame:
+    votes: DataFrame, group: str, winner: str, loser: str, vote: str | None = None, prior: float = 1.0, head: int | None = None, block_ends: int = 500_000,
+    tolerance: float = 1e-9, rounds: int = 300,
+) -> DataFrame:
     """``<group>, item, strength, std_error, wins, losses, component, components, place`` for every compared item.
 
-    ``strength`` is log s, 0 for an average item; ``place`` orders by strength, then by the smaller item. ``component`` is the smallest
+    ``strength`` is log s, 0 for an average item; ``place`` orders by strength to eight decimals, then by the smaller item. ``component`` is the smallest
     item of the part of the group its votes connect it to, ``components`` the number of such parts: across parts the order rests on the
-    prior alone. Defined cases: votes with a NULL group, winner or loser, and votes of an item against itself, count for nothing; repeated
-    rows of one vote count once; the larger groups stop at steps of 1e-4 at the least; contradicting votes all count; an empty table gives no rows; further columns are ignored.
+    prior alone. ``head`` keeps the first places of each group only. Steps end below ``tolerance``; a fit that is not there after
+    ``rounds`` is an error.
+
+    Defined cases: votes with a NULL group, winner or loser, and votes of an item against itself, count for nothing; repeated rows of one
+    vote count once; contradicting votes all count; an empty table gives no rows; further columns are ignored.
     """
     pairs = materialize(win_counts(votes, group, winner, loser, vote), "pairs")
-    big = materialize(pairs.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block_pairs).select("grp"), "big")
-    schema = f"grp {dict(pairs.dtypes)['grp']}, item {dict(pairs.dtypes)['a']}, strength double, std_error double, wins double, losses double, component {dict(pairs.dtypes)['a']}"
-    if big.isEmpty():
-        fitted = pairs.groupBy("grp").applyInPandas(_fit_block(prior, tolerance, rounds), schema)
-    else:
-        fitted = pairs.join(big, "grp", "left_anti").groupBy("grp").applyInPandas(_fit_block(prior, tolerance, rounds), schema)
-        fitted = fitted.unionByName(fit_distributed(pairs.join(big, "grp", "left_semi"), prior, max(tolerance, 1e-4), rounds).select(*fitted.columns))
-    fitted = materialize(fitted, "strengths")
-    parts = fitted.select("grp", "component").distinct().groupBy("grp").agg(F.count("*").alias("components"))
-    w = Window.partitionBy("grp").orderBy(F.desc("strength"), "item")
-    # a group's places: items are bounded by twice its pairs in a block; the sort of a larger one spills
-    out = fitted.withColumn("place", F.row_number().over(w)).join(parts.withColumnRenamed("grp", "g2"), F.col("grp") == F.col("g2"))
-    return out.select(F.col("grp").alias(group), "item", "strength", "std_error", "wins", "losses", "component", "components", "place")
-
-
-def mm(i: np.ndarray, j: np.ndarray, wi: np.ndarray, wj: np.ndarray, m: int, prior: float, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strengths and standard errors of log strengths of ``m`` items from pair arrays."""
-    n = wi + wj
-    wins = np.bincount(i, wi, m) + np.bincount(j, wj, m)
-    losses = np.bincount(i, wj, m) + np.bincount(j, wi, m)
-    s = (wins + prior) / (losses + prior)
+    kinds = dict(pairs.dtypes)
+    both = pairs.select("grp", F.col("a").alias("item"), F.col("b").alias("other"), F.col("wa").alias("won"), (F.col("wa") + F.col("wb")).alias("n"))
+    both = both.unionByName(pairs.select("grp", F.col("b").alias("item"), F.col("a").alias("other"), F.col("wb").alias("won"), (F.col("wa") + F.col("wb")).alias("n")))
+    # at most one group of several blocks per block_ends / 2 pairs, so this table is small
+    cut = pairs.groupBy("grp").agg(F.ceil(2 * F.count("*") / block_ends).cast("int").alias("blocks")).where("blocks > 1")
+    cut = materialize(cut.withColumnRenamed("grp", "cut_grp"), "cut")
+    place = lambda c: F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.col("blocks"))).cast("int")
+    ends = both.join(cut, F.col("grp") == F.col("cut_grp"), "left").select("grp", place("item").alias("block"), "item", "other", place("other").alias("other_block"), "won", "n")
+    ends = materialize(ends, "ends")
+    schema = f"grp {kinds['grp']}, block int, item {kinds['a']}, own boolean, strength double, wins double, losses double, bend double, component {kinds['a']}"
+
+    def fit(rows: DataFrame) -> DataFrame:
+        return spread(rows, "grp", "block").groupBy("grp", "block").applyInPandas(_fit_block(prior, tolerance, rounds), schema)
+
+    alone = fit(ends.join(cut, F.col("grp") == F.col("cut_grp"), "left_anti").withColumn("start", F.lit(None).cast("double")).withColumn("outside", F.lit(None).cast("double")))
+    fitted = alone.where("own")
+    if not cut.isEmpty():
+        fitted = fitted.unionByName(_exchange(ends.join(F.broadcast(cut), F.col("grp") == F.col("cut_grp"), "left_semi"), fit, prior, tolerance, rounds))
+    fitted = materialize(fitted.withColumn("level", F.round("strength", 8)), "strengths")
+    parts = fitted.select("grp", "component").distinct().groupBy(F.col("grp").alias("g2")).agg(F.count("*").alias("components"))
+    order = [F.desc("level"), F.col("item")]
+    if head is None:
+        out = numbered(fitted, ["grp"], order)
+    else:  # pruned in every partition before the exchange
+        out = fitted.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("place") <= head)
+    out = out.join(parts, F.col("grp") == F.col("g2"))
+    error = (1 / F.sqrt("bend")).alias("std_error")
+    return out.select(F.col("grp").alias(group), "item", "strength", error, "wins", "losses", "component", "components", F.col("place").cast("long").alias("place"))
+
+
+def stand_still(step, x: np.ndarray, tolerance: float, rounds: int) -> np.ndarray:
+    """A fixed point of ``step``: three steps a round, the third from a squared extrapolation of the first two where it does no harm."""
     for _ in range(rounds):
-        q = n / (s[i] + s[j])
-        new = (wins + prior) / (np.bincount(i, q, m) + np.bincount(j, q, m) + 2 * prior / (s + 1))
-        moved = np.max(np.abs(np.log(new / s)), initial=0.0)
-        s = new
+        a = step(x)
+        r = a - x
+        moved = np.max(np.abs(r), initial=0.0)
         if moved < tolerance:
-            break
-    p = n * s[i] * s[j] / (s[i] + s[j]) ** 2
-    return s, 1 / np.sqrt(np.bincount(i, p, m) + np.bincount(j, p, m) + 2 * prior * s / (s + 1) ** 2)
+            return a
+        b = step(a)
+        v = (b - a) - r
+        bend = np.linalg.norm(v)
+        far = max(np.linalg.norm(r) / bend, 1.0) if bend > 0 else 1.0
+        x = b
+        if far > 1.0:
+            c = x0 = a - r + 2 * far * r + far * far * v
+            c = step(x0)
+            x = c if np.max(np.abs(c - x0), initial=0.0) <= 4 * moved else b
+    raise RuntimeError(f"strengths still move after {rounds} rounds")
 
 
 def _fit_block(prior: float, tolerance: float, rounds: int):
+    """Strengths of a block's own items from its ends; items outside hold the strength ``outside``. Further rows name the items outside
+    with the block's component they touch."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(np.concatenate([pdf.a.to_numpy(), pdf.b.to_numpy()]))
-        i, j = np.searchsorted(items, pdf.a.to_numpy()), np.searchsorted(items, pdf.b.to_numpy())
-        wi, wj, m = pdf.wa.to_numpy(), pdf.wb.to_numpy(), len(items)
-        s, se = mm(i, j, wi, wj, m, prior, tolerance, rounds)
-        part = np.arange(m)
+        items, i = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+        other, won, n = pdf.other.to_numpy(), pdf.won.to_numpy(), pdf.n.to_numpy()
+        inside = (pdf.block == pdf.other_block).to_numpy()
+        m = len(items)
+        j = np.zeros(len(pdf), dtype=np.int64)
+        j[inside] = np.searchsorted(items, other[inside])
+        held = np.exp(np.where(inside, 0.0, pdf.outside.fillna(0.0).to_numpy()))
+        wins = np.bincount(i, won, m)
+        losses = np.bincount(i, n - won, m)
+        start = np.full(m, np.nan)
+        start[i] = pdf.start.to_numpy(dtype=float)
+        start = np.where(np.isnan(start), np.log((wins + prior) / (losses + prior)), start)
+
+        def step(x: np.ndarray) -> np.ndarray:
+            s = np.exp(x)
+            load = np.bincount(i, n / (s[i] + np.where(inside, s[j], held)), m)
+            return np.log((wins + prior) / (load + 2 * prior / (s + 1)))
+
+        x = stand_still(step, start, tolerance, 50 * rounds)
+        s = np.exp(x)
+        o = np.where(inside, s[j], held)
+        bend = np.bincount(i, n * s[i] * o / (s[i] + o) ** 2, m) + 2 * prior * s / (s + 1) ** 2
+        # parts connected inside the block, over the items outside too
+        outer, k = np.unique(other[~inside], return_inverse=True)
+        names = np.concatenate([items, outer])
+        b = j.copy()
+        b[~inside] = m + k
+        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        label = rank.copy()
         while True:
-            old = part.copy()
-            np.minimum.at(part, i, part[j])
-            np.minimum.at(part, j, part[i])
-            part = part[part]
-            if (part == old).all():
+            old = label.copy()
+            np.minimum.at(label, i, label[b])
+            np.minimum.at(label, b, label[i])
+            if (label == old).all():
                 break
+        smallest = names[np.argsort(rank, kind="stable")][label]
+        pad = lambda v: np.concatenate([v, np.zeros(len(outer))])
         return pd.DataFrame({
-            "grp": pdf.grp.iloc[0], "item": items, "strength": np.log(s), "std_error": se, "wins": np.bincount(i, wi, m) + np.bincount(j, wj, m),
-            "losses": np.bincount(i, wj, m) + np.bincount(j, wi, m), "component": items[part],
+            "grp": pdf.grp.iloc[0], "block": pdf.block.iloc[0], "item": names, "own": np.arange(len(names)) < m, "strength": pad(x), "wins": pad(wins), "losses": pad(losses),
+            "bend": pad(bend), "component": smallest,
         })
 
     return run
 
 
-def fit_distributed(pairs: DataFrame, prior: float, tolerance: float, rounds: int) -> DataFrame:
-    """The same step as joins and aggregates, for groups too large for one task. Both ends of a pair are rows of ``ends``."""
-    ends = pairs.select("grp", F.col("a").alias("item"), F.col("b").alias("other"), "wa", "wb").union(pairs.select("grp", F.col("b"), F.col("a"), F.col("wb"), F.col("wa")))
-    ends = materialize(ends.select("grp", "item", "other", F.col("wa").alias("won"), (F.col("wa") + F.col("wb")).alias("n")), "ends")
+def _exchange(ends: DataFrame, fit, prior: float, tolerance: float, rounds: int) -> DataFrame:
+    """Rounds of block steps and exchanges for groups of several blocks, until no strength moves by ``tolerance`` between exchanges."""
+    ends = materialize(ends, "cut_ends")
     state = ends.groupBy("grp", "item").agg(F.sum("won").alias("wins"), F.sum(F.col("n") - F.col("won")).alias("losses"))
-    state = materialize(state.withColumn("s", (F.col("wins") + prior) / (F.col("losses") + prior)), "state")
+    state = materialize(state.select("grp", "item", F.log((F.col("wins") + prior) / (F.col("losses") + prior)).alias("x")), "state")
+
+    def sweep(at: DataFrame) -> DataFrame:
+        mine = at.select("grp", "item", F.col("x").alias("start"))
+        theirs = at.select("grp", F.col("item").alias("other"), F.col("x").alias("outside"))
+        return materialize(fit(ends.join(mine, ["grp", "item"]).join(theirs, ["grp", "other"])), "swept")
+
+    own = lambda swept, name: swept.where("own").select("grp", "item", F.col("strength").alias(name))
     for _ in range(rounds):
-        met = _met(ends, state)
-        load = met.groupBy("grp", "item").agg(F.sum(F.col("n") / (F.col("s") + F.col("so"))).alias("load"))
-        new = state.join(load, ["grp", "item"]).withColumn("t", (F.col("wins") + prior) / (F.col("load") + 2 * prior / (F.col("s") + 1)))
-        new = materialize(new.select("grp", "item", "wins", "losses", F.col("t").alias("s"), F.abs(F.log(F.col("t") / F.col("s"))).alias("moved")), "state")
-        forget(state)
+        one = sweep(state)
+        went = state.join(own(one, "x1"), ["grp", "item"])
+        if (went.agg(F.max(F.abs(F.col("x1") - F.col("x")))).first()[0] or 0.0) < tolerance:
+            forget(state)
+            edges = one.select(F.struct("grp", "item").alias("a"), F.struct("grp", F.col("component").alias("item")).alias("b"))
+            whole = components(edges).select(F.col("node.grp").alias("grp"), F.col("node.item").alias("item"), F.col("component.item").alias("whole"))
+            out = one.where("own").join(whole, ["grp", "item"])
+            return out.select("grp", "block", "item", "own", "strength", "wins", "losses", "bend", F.col("whole").alias("component"))
+        two = sweep(own(one, "x"))
+        way = materialize(went.join(own(two, "x2"), ["grp", "item"]).withColumn("r", F.col("x1") - F.col("x")).withColumn("v", F.col("x2") - F.col("x1") - F.col("r")), "way")
+        long = way.groupBy("grp").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("lr"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("lv"))
+        # one row per group of several blocks
+        far = F.greatest(F.when(F.col("lv") > 0, F.col("lr") / F.col("lv")).otherwise(1.0), F.lit(1.0))
+        x = F.col("x") + 2 * F.col("far") * F.col("r") + F.col("far") * F.col("far") * F.col("v")
+        new = materialize(way.join(F.broadcast(long.select("grp", far.alias("far"))), "grp").select("grp", "item", x.alias("x")), "state")
+        for old in (state, one, two, way):
+            forget(old)
         state = new
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            break
-    p = F.col("n") * F.col("s") * F.col("so") / F.pow(F.col("s") + F.col("so"), 2)
-    bend = _met(ends, state).groupBy("grp", "item").agg(F.sum(p).alias("bend"))
-    node = lambda c: F.struct(F.col("grp"), F.col(c).alias("item"))
-    parts = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    parts = parts.select(F.col("node.grp").alias("grp"), F.col("node.item").alias("item"), F.col("component.item").alias("component"))
-    out = state.join(bend, ["grp", "item"]).join(parts, ["grp", "item"])
-    se = 1 / F.sqrt(F.col("bend") + 2 * prior * F.col("s") / F.pow(F.col("s") + 1, 2))
-    return out.select("grp", "item", F.log("s").alias("strength"), se.alias("std_error"), "wins", "losses", "component")
-
-
-def _met(ends: DataFrame, state: DataFrame) -> DataFrame:
-    mine = state.select("grp", "item", "s")
-    other = state.select("grp", F.col("item").alias("other"), F.col("s").alias("so"))
-    return ends.join(mine, ["grp", "item"]).join(other, ["grp", "other"])
+    raise RuntimeError(f"strengths still move after {rounds} exchanges")

@@ -12,14 +12,14 @@ LLM = Registry()
 # ---- 1: global ranking from pairwise comparisons ---------------------------------------------------------------------------------------
 
 
-def _strengths(spark, sf):
+def _strengths(spark, sf, **how):
     votes = table(spark, sf, "preferences").select("seq", "shoot", "winner", "loser")
-    return pairwise.rank_comparisons(votes, "shoot", "winner", "loser", "seq")
+    return pairwise.rank_comparisons(votes, "shoot", "winner", "loser", "seq", **how)
 
 
 @LLM.add("p1_found")
 def p1_found(spark, sf):
-    return _strengths(spark, sf).where(F.col("place") <= 12).select("shoot", F.col("item").alias("id")).distinct()
+    return _strengths(spark, sf, head=12).select("shoot", F.col("item").alias("id")).distinct()
 
 
 @LLM.add("p1_strengths")

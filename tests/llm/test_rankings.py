@@ -55,15 +55,38 @@ def test_few_easy_wins_do_not_lead(spark):
     assert got[("s", "star")]["place"] == 1 and got[("s", "lucky")]["strength"] < got[("s", "star")]["strength"]
 
 
-def test_joins_give_the_same_as_blocks(spark):
+@pytest.mark.parametrize("ends", [60])
+def test_groups_of_many_blocks_end_at_the_same_strengths(spark, ends):
     r = random.Random(3)
     rows = [("big", f"i{r.randrange(12)}", f"i{r.randrange(12)}") for _ in range(150)] + [("big", "x", "y"), ("small", "p", "q")]
-    a, b = rank(votes(spark, rows)), rank(votes(spark, rows), block_pairs=5)
+    a, b = rank(votes(spark, rows)), rank(votes(spark, rows), block_ends=ends)
     assert a.keys() == b.keys()
     for k in a:
-        assert a[k]["strength"] == pytest.approx(b[k]["strength"], abs=1e-2) and a[k]["std_error"] == pytest.approx(b[k]["std_error"], abs=1e-2)  # the joins stop at steps of 1e-4
+        assert a[k]["strength"] == pytest.approx(b[k]["strength"], abs=2e-6) and a[k]["std_error"] == pytest.approx(b[k]["std_error"], abs=2e-6)
+        assert a[k]["place"] == b[k]["place"]
         assert (a[k]["component"], a[k]["components"]) == (b[k]["component"], b[k]["components"])
     assert a[("big", "x")]["components"] == 2 and a[("big", "y")]["component"] == "x"
+    head = rank(votes(spark, rows), block_ends=ends, head=3)
+    assert {k: x["place"] for k, x in head.items()} == {k: x["place"] for k, x in a.items() if x["place"] <= 3}
+
+
+def test_the_fit_is_the_maximum_of_its_likelihood(spark):
+    """No strength can be changed to raise the penalised likelihood, also far from the middle, and a fit that cannot end is an error."""
+    r = random.Random(8)
+    rows = [("s", f"i{a}", f"i{b}") if r.random() < 0.9 else ("s", f"i{b}", f"i{a}") for a in range(30) for b in range(a + 1, min(a + 4, 30)) for _ in range(6)]
+    got = {i: x["strength"] for (_, i), x in rank(votes(spark, rows), prior=0.1).items()}
+
+    def slope(i):
+        s, g = np.exp(got[i]), 0.1 - 0.2 * np.exp(got[i]) / (np.exp(got[i]) + 1)
+        for _, w, lo in rows:
+            if i in (w, lo):
+                o = np.exp(got[lo if i == w else w])
+                g += (i == w) - s / (s + o)
+        return g
+
+    assert max(abs(slope(i)) for i in got) < 1e-5
+    with pytest.raises(RuntimeError):
+        pairwise.stand_still(lambda x: x + 1, np.zeros(1), 1e-7, 5)
 
 
 def test_votes_that_count_for_nothing(spark):
