@@ -54,12 +54,37 @@ def p2_found(spark, sf):
     return survivor.survivors(one, ["shoot", "burst"], "id", ["score", "focus"]).distinct()
 
 
-@LLM.add("p2_bundles")
+_WORTH = "{x}.n + CASE WHEN {x}.t IS NULL THEN 0.0 ELSE 0.01 + 0.98 * ({x}.t - s.lo) / greatest(s.hi - s.lo, 1e-9) END"
+_P2_BUNDLES = f"""
+WITH r AS (SELECT DISTINCT rec_no, shoot, id, nullif(burst, -1) AS burst, CASE WHEN isnan(score) THEN NULL ELSE score END AS score,
+             CASE WHEN isnan(focus) THEN NULL ELSE focus END AS focus, origin, CAST(epoch_us(run_at) AS DOUBLE) AS t FROM candidate_records WHERE id IS NOT NULL AND shoot IS NOT NULL),
+rule AS (SELECT shoot, burst, arg_min(origin, {{'n': -n, 'o': origin}}) AS origin FROM (SELECT shoot, burst, origin, count(*) AS n FROM r WHERE burst IS NOT NULL AND origin IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT shoot, id, min(t) AS lo, max(t) AS hi FROM r GROUP BY 1, 2),
+p AS (SELECT shoot, id, r.burst, rule.origin AS need, CAST(2 AS DOUBLE) AS n, t, row_number() OVER (PARTITION BY shoot, id ORDER BY t DESC NULLS LAST, rec_no DESC, r.burst DESC) AS rk
+      FROM r JOIN rule USING (shoot, burst) UNION ALL
+      SELECT shoot, id, r.burst, NULL, 2, t, 1000 + row_number() OVER (PARTITION BY shoot, id ORDER BY t DESC NULLS LAST, rec_no DESC) FROM r WHERE burst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rule WHERE rule.shoot = r.shoot AND rule.burst = r.burst)),
+a AS (SELECT shoot, id, score, focus, origin, CAST((score IS NOT NULL)::INT + (focus IS NOT NULL)::INT + (origin IS NOT NULL)::INT AS DOUBLE) AS n, t,
+        row_number() OVER (PARTITION BY shoot, id ORDER BY (score IS NOT NULL)::INT + (focus IS NOT NULL)::INT + (origin IS NOT NULL)::INT DESC, t DESC NULLS LAST, rec_no DESC) AS rk
+      FROM r WHERE score IS NOT NULL OR focus IS NOT NULL OR origin IS NOT NULL),
+f AS (SELECT s.shoot, s.id, p.burst, a.score, a.focus, a.origin, coalesce(p.rk, 99999) AS pr, coalesce(a.rk, 99999) AS ar,
+        (CASE WHEN p.n IS NULL THEN 0.0 ELSE {_WORTH.format(x="p")} END) + (CASE WHEN a.n IS NULL THEN 0.0 ELSE {_WORTH.format(x="a")} END) AS total, p.need IS NULL OR a.origin IS NULL OR p.need = a.origin AS fits
+      FROM s LEFT JOIN (SELECT * FROM p UNION ALL SELECT shoot, id, NULL, NULL, NULL, NULL, NULL FROM s) p ON p.shoot = s.shoot AND p.id = s.id
+             LEFT JOIN (SELECT * FROM a UNION ALL SELECT shoot, id, NULL, NULL, NULL, NULL, NULL, NULL FROM s) a ON a.shoot = s.shoot AND a.id = s.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY shoot, id ORDER BY round(total, 9) DESC, pr, ar) AS pick FROM f WHERE fits),
+x AS (SELECT shoot, id, bool_and(fits) FILTER (pr IN (1, 1001) AND ar = 1) AS calm FROM f GROUP BY 1, 2)
+SELECT shoot, id, burst, score, focus, origin, NOT coalesce(calm, true) AS branched FROM k JOIN x USING (shoot, id) WHERE pick = 1
+"""
+
+
+@LLM.add("p2_bundles", _P2_BUNDLES)
 def p2_bundles(spark, sf):
-    """Survivors with score and focus taken whole from one analysis, and every photo's shoot fixed by its id."""
-    return survivor.fuse(
-        _records(spark, sf), ["id"], {"place": ["shoot", "burst"], "analysis": ["score", "focus", "origin"]}, "run_at", ["rec_no"], {"burst": -1}
-    )
+    """Of each photo a burst and an analysis (score, focus and their origin), each whole from one record, so that the photos of a burst can
+    be compared: a burst allows only the origin most of its records have. Photos whose best burst and best analysis disagree are branched on."""
+    view = F.when(F.col("burst").isNotNull() & (F.col("burst") != -1) & F.col("shoot").isNotNull(), F.concat_ws("#", "shoot", "burst"))
+    rows = _records(spark, sf).withColumn("view", view)
+    bundles = {"place": ["burst", "view"], "analysis": ["score", "focus", "origin"]}
+    out = survivor.fuse(rows, ["shoot", "id"], bundles, "run_at", ["rec_no"], {"burst": -1}, [("view", "origin")], mark="branched")
+    return out.drop("view")
 
 
 # ---- 3: top N items within every group ---------------------------------------------------------------------------------------------

@@ -160,12 +160,12 @@ def test_survivor_empty_null_and_ties(spark):
 # ---- 3 --------------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", [1, 3, 7])
-def test_top_n_equals_sorting(spark, n):
+@pytest.mark.parametrize("n, least", [(1, 1000), (3, 0), (7, 50)])
+def test_top_n_equals_sorting(spark, n, least):
     r = random.Random(n)
     rows = [(r.choice(["hot", "hot", "hot", "a", "b", None]), r.choice([f"i{r.randrange(80)}", None]), r.choice([None, NAN, float("inf"), 1.0, 1.0, r.randrange(20) / 2])) for _ in range(1500)]
     df = clash(spark.createDataFrame(rows, "g string, id string, s double")).repartition(7)
-    got = {(x["g"], x["id"], x["s"], x["rank"]) for x in topn.top_n(df, ["g"], "id", "s", n).collect()}
+    got = {(x["g"], x["id"], x["s"], x["rank"]) for x in topn.top_n(df, ["g"], "id", "s", n, least_rows=least).collect()}
     best: dict = {}
     for g, i, s in rows:
         if g is not None and i is not None and s is not None and s == s:
@@ -179,16 +179,24 @@ def test_top_n_equals_sorting(spark, n):
 
 def test_one_item_cannot_fill_the_bound(spark):
     rows = [("g", "x", 10.0), ("g", "x", 9.0), ("g", "x", 8.0), ("g", "y", 7.0), ("g", "z", 6.0)]
-    got = topn.top_n(spark.createDataFrame(rows, "g string, id string, s double").coalesce(1), ["g"], "id", "s", 3).collect()
+    got = topn.top_n(spark.createDataFrame(rows, "g string, id string, s double").coalesce(1), ["g"], "id", "s", 3, least_rows=0).collect()
     assert sorted(r["id"] for r in got) == ["x", "y", "z"]
 
 
 def test_top_n_bound_prunes_before_the_shuffle(spark):
-    df = spark.range(10000).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("id"), F.rand(1).alias("s"))
-    plan = topn.top_n(df, ["g"], "id", "s", 3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and topn.top_n(df.limit(0), ["g"], "id", "s", 3).count() == 0
+    """With Spark's own broadcasts off, as at size, no exchange takes the rows of a large group: bounds come first."""
+    src = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 900)).alias("g"), F.col("id").cast("string").alias("id"), F.rand(1).alias("s"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = topn.top_n(src, ["g"], "id", "s", 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "WindowGroupLimit" in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert out.where("g = 'hot'").count() == 3 and topn.top_n(src.limit(0), ["g"], "id", "s", 3).count() == 0
     with pytest.raises(ValueError):
-        topn.top_n(df, ["g"], "id", "s", 0)
+        topn.top_n(src, ["g"], "id", "s", 0)
 
 
 # ---- 6 --------------------------------------------------------------------------------------------------------------------------------
