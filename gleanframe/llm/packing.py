@@ -4,8 +4,8 @@ Every piece has three sizes: tokens, segments (1) and loss-bearing tokens (those
 A container takes pieces while all three limits hold. It is filled by repeatedly taking the fitting piece whose sizes have the largest
 weighted dot product with the room left, so large pieces come first and the last gap is closed by the piece that fits it best.
 
-Texts over the capacity are split into full containers and one remainder (a text with more loss-bearing tokens than a container may
-hold, at that number); nothing else is split. Items are spread by a hash over blocks
+Texts over the capacity are split into full containers and one remainder; nothing else is split. Where a piece of a container's tokens
+could hold more loss-bearing tokens than a container may, pieces are cut at that number. Items are spread by a hash over blocks
 of about ``block_items`` pieces, each packed in one task: a block holds a bounded number of items, whatever their source, and can waste
 space only in its last containers.
 """

@@ -151,8 +151,12 @@ def p6_ranking(spark, sf):
 # ---- 8: filling fixed-capacity containers ------------------------------------------------------------------------------------------
 
 
-def _packed(spark, sf):
-    return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+# loss-bearing tokens and segments a container may hold beside its 2,048 tokens
+LOSS, SEGMENTS = 1792, 16
+
+
+def _packed(spark, sf, **how):
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", **how)
 
 
 @LLM.add("p8_found")
@@ -162,7 +166,8 @@ def p8_found(spark, sf):
 
 @LLM.add("p8_containers")
 def p8_containers(spark, sf):
-    out = _packed(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
+    """Containers under three limits of which each is reached by some: tokens, segments and loss-bearing tokens."""
+    out = _packed(spark, sf, max_segments=SEGMENTS, max_loss=LOSS).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
     return out.withColumn("room", 2048 - F.col("tokens"))
 
 
