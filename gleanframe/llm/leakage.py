@@ -10,7 +10,9 @@ Candidates are then checked on the whole text: the longest run of consecutive wo
 invisible characters aside). Around every window found are measured the longest common subsequence and how many of the passage's answer
 words occur there; the place where the lesser of the two shares is greatest stands for the pair.
 
-The passages are the stated query set: they are taken in blocks of at most ``block_items`` items, each searched against all documents.
+The passages are the stated query set: they are taken in blocks of at most ``block_items`` items, each searched against all documents,
+whose words are numbered once for all blocks. A text in which markup or a broken line cuts words, is read both ways: with the parts as words
+and with the parts as one.
 """
 
 from __future__ import annotations
@@ -49,6 +51,17 @@ def plain(text: str) -> str:
     return text.casefold()
 
 
+_CUT = re.compile(r"(?<=\w)(?:(?:</?[A-Za-z][^<>]*>)+|[-\u00ad\u2010\u2011]\s*[\r\n]\s*)(?=\w)")
+
+
+def uncut(text: str | None) -> str | None:
+    """The text with words put together that markup or the end of a line cuts; NULL where there are none."""
+    if not text or not ("<" in text or "\n" in text or "\r" in text):
+        return None
+    out = _CUT.sub("", text)
+    return out if len(out) < len(text) else None
+
+
 def words(text: str | None) -> list[str]:
     if not text:
         return []
@@ -134,37 +147,38 @@ def leaks(
     known = materialize(known, "items")
     blocks = max(1, -(-known.count() // block_items))
     texts = docs.select(col(doc).alias("doc"), col(text).cast("string").alias("text")).dropna()
+    kinds = (dict(texts.dtypes)["doc"], dict(known.dtypes)["item"])
+    taken = lambda b: [(r["item"], words(r["p"])) for r in known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()]
+    vocabulary: set[str] = set()
+    for b in range(blocks):  # the passages' words, a set that grows slower than the passages
+        vocabulary.update(w for _, ws in taken(b) for w in ws)
+    number = {w: i for i, w in enumerate(sorted(vocabulary))}
+    coded, df, n_docs = _coded(texts, number)
     out = None
     for b in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()
-        part = _search(texts, [(r["item"], words(r["p"])) for r in rows], dict(known.dtypes)["item"], least, width, stride, cosine, confirm, rank, fit_windows)
+        part = _search(texts, coded, number, df, n_docs, taken(b), kinds, least, width, stride, cosine, confirm, rank, fit_windows)
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"doc": doc, "item": item})
 
 
-def _windows(flat: np.ndarray, lengths: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and first word of every window; the last window of a text ends with it."""
-    row = np.repeat(np.arange(len(lengths)), np.where(lengths >= width, -(-(lengths - width) // stride) + 1, 0))
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    k = np.arange(len(row)) - np.searchsorted(row, row)
-    return row, begin[row] + np.minimum(k * stride, lengths[row] - width)
-
-
-def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank, fit_windows):
-    spark = texts.sparkSession
-    kind = dict(texts.dtypes)["doc"]
-    number = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    v = len(number)
-    shared = spark.sparkContext.broadcast(number)  # words of at most block_items passages
+def _coded(texts: DataFrame, number: dict[str, int]) -> tuple[DataFrame, np.ndarray, int]:
+    """Every text as numbers of the passages' words (one more number for all others), in how many each stands, and how many there are."""
+    kind, v = dict(texts.dtypes)["doc"], len(number)
+    shared = texts.sparkSession.sparkContext.broadcast(number)
 
     def encode(batches):
         ids = shared.value
         for b in batches:
-            coded = [[ids.get(w, v) for w in words(t)] for t in b.column(1).to_pylist()]
+            at, coded = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                at.append(i), coded.append([ids.get(w, v) for w in words(t)])
+                other = uncut(t)
+                if other is not None:
+                    at.append(i), coded.append([ids.get(w, v) for w in words(other)])
             lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
             flat = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int32, count=int(lengths.sum()))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), lists], ["doc", "ids"])
 
     coded = materialize(texts.mapInArrow(encode, f"doc {kind}, ids array<int>"), "coded")
     n_docs = coded.count()
@@ -172,17 +186,37 @@ def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank
     df = np.zeros(v)
     for r in seen:
         df[r["w"]] = r["df"]
+    return coded, df, n_docs
+
+
+def _windows(flat: np.ndarray, lengths: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and first word of every window; the last window of a text ends with it."""
+    row = np.repeat(np.arange(len(lengths)), np.where(lengths >= width, -(-(lengths - width) // stride) + 1, 0))
+    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    k = np.arange(len(row)) - np.searchsorted(row, row)
+    return row, begin[row] + np.minimum(k * stride, lengths[row] - width)
+
+
+def _search(texts, coded, number, df, n_docs, items, kinds, least, width, stride, cosine, confirm, rank, fit_windows):
+    spark = texts.sparkSession
+    kind, item_kind = kinds
+    used = np.unique([number[w] for _, ws in items for w in ws]).astype(np.int64)
+    v = len(used)
+    # numbers of the block's own words; all others share the last
+    local = np.full(len(number) + 1, v, dtype=np.int32)
+    local[used] = np.arange(v)
+    number = {w: int(local[number[w]]) for _, ws in items for w in ws}
     # a word of no passage weighs like one never seen: it can only lower a window's cosine
-    weight = np.append(np.log((1 + n_docs) / (1 + df)) + 1, np.log(1 + n_docs) + 1).astype(np.float32)
+    weight = np.append(np.log((1 + n_docs) / (1 + df[used])) + 1, np.log(1 + n_docs) + 1).astype(np.float32)
     mine = [np.array([number[w] for w in ws], dtype=np.int32) for _, ws in items]
     row, at = _windows(np.concatenate(mine) if mine else np.zeros(0, np.int32), np.array([len(m) for m in mine], dtype=np.int64), width, 1)
     if not len(row):
         return spark.createDataFrame([], f"doc {kind}, item {item_kind}, cosine double, run int, subsequence double, answers double")
     flat = np.concatenate(mine)
     index = flat[at[:, None] + np.arange(width)]
-    basis = _basis(coded, index, weight, v, rank, width, fit_windows, n_docs)
+    basis = _basis(coded, local, index, weight, v, rank, width, fit_windows, n_docs)
     latent = _latent(index, basis, weight)
-    tables = spark.sparkContext.broadcast((basis, weight, latent, row.astype(np.int32)))
+    tables = spark.sparkContext.broadcast((basis, weight, latent, row.astype(np.int32), local))
     index_of = spark.sparkContext.broadcast(index)
 
     rare = weight[:v]
@@ -193,11 +227,11 @@ def _search(texts, items, item_kind, least, width, stride, cosine, confirm, rank
     measured = spark.sparkContext.broadcast(measures)
 
     def candidates(batches):
-        basis, weight, latent, owner = tables.value
+        basis, weight, latent, owner, local = tables.value
         for b in batches:
             ids = b.column(1)
             lengths = np.diff(ids.offsets.to_numpy())
-            flat = ids.flatten().to_numpy()
+            flat = local[ids.flatten().to_numpy()]
             row, at = _windows(flat, lengths, width, stride)
             energy = np.where(flat < v, weight[np.minimum(flat, v)] ** 2, 0)
             total = np.concatenate([[0.0], np.cumsum(weight[flat].astype(np.float64) ** 2)])
@@ -283,7 +317,7 @@ def _cosine(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return both / np.maximum(own(a, wa) * own(b, wb), 1e-12)
 
 
-def _basis(coded, index, weight, v, rank, width, fit_windows, n_docs):
+def _basis(coded, local, index, weight, v, rank, width, fit_windows, n_docs):
     """``rank`` leading right singular directions of the TF-IDF windows by randomised subspace iteration; row v is zero.
 
     Each pass forms A'(A X) in the partitions of a bounded sample of document windows, adds the passage windows, and orthonormalises.
@@ -307,14 +341,14 @@ def _basis(coded, index, weight, v, rank, width, fit_windows, n_docs):
     for _ in range(2):
         q, _ = np.linalg.qr(x[:v])
         x[:v] = q
-        sent = coded.sparkSession.sparkContext.broadcast((x, weight))
+        sent = coded.sparkSession.sparkContext.broadcast((x, weight, local))
 
         def part(batches, sent=sent):
-            x, weight = sent.value
+            x, weight, local = sent.value
             z = np.zeros_like(x)
             for b in batches:
                 lengths = np.diff(b.column(0).offsets.to_numpy())
-                flat = b.column(0).flatten().to_numpy()
+                flat = local[b.column(0).flatten().to_numpy()]
                 _, at = _windows(flat, lengths, width, width)
                 a = flat[at[:, None] + np.arange(width)]
                 a = a[(a < v).sum(1) * 2 > width]

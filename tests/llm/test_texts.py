@@ -127,6 +127,42 @@ def test_common_subsequence_equals_table():
         assert leakage.common_subsequence(a, b) == t[-1][-1]
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_words_cut_by_markup_or_line_ends(spark, block):
+    """Such a word in the middle of a run of twelve leaves no whole window of six at most places; both readings find it."""
+    r = random.Random(4)
+    names = ["".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    items = [(i, " ".join(r.choice(names) for _ in range(30))) for i in range(20)]
+    docs = []
+    for i, p in items:
+        ws = p.split()[4:16]
+        ws[6] = ws[6][:3] + ("<b>" if i % 2 else "-\n") + ws[6][3:] + ("</b>" if i % 2 else "")
+        docs.append((i, " ".join([r.choice(names) for _ in range(i % 5)] + ws + [r.choice(names) for _ in range(9)])))
+    d, e = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i int, p string")
+    got = {(x["d"], x["i"]) for x in leakage.leaks(d, "d", "t", e, "i", "p", block_items=block).where("run >= 12").collect()}
+    assert got == {(i, i) for i in range(20)}
+
+
+@pytest.mark.parametrize("every, recall", [(3, 0.8), (4, 0.9)])
+def test_recall_and_precision_of_paraphrases(spark, every, recall):
+    """Planted: every third (34 of 40 are found) or fourth word replaced by another, neighbours swapped, clauses set apart by new words; among documents of the same words."""
+    r = random.Random(6)
+    names = ["".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(r.choice([2, 3]))) for _ in range(3000)]
+    items = [(i, " ".join(r.choice(names) for _ in range(40))) for i in range(40)]
+    docs, want = [(1000 + i, " ".join(r.choice(names) for _ in range(150))) for i in range(200)], set()
+    for i, p in items:
+        ws = [w if k % every else r.choice(names) for k, w in enumerate(p.split())]
+        for k in range(0, 38, 5):
+            ws[k], ws[k + 1] = ws[k + 1], ws[k]
+        ws[20:20] = [r.choice(names) for _ in range(3)]
+        docs.append((i, " ".join([r.choice(names) for _ in range(40)] + ws + [r.choice(names) for _ in range(60)])))
+        want.add((i, i))
+    d, e = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i int, p string")
+    out = leakage.leaks(d, "d", "t", e, "i", "p", width=8, stride=4, cosine=0.55, confirm=0.45)
+    got = {(x["d"], x["i"]) for x in out.where("run < 12 AND subsequence >= 0.3 AND answers >= 0.3").collect()}
+    assert len(got & want) >= recall * len(want) and len(got & want) >= 0.9 * len(got), (len(got & want), len(got))
+
+
 # ---- 10 --------------------------------------------------------------------------------------------------------------------------------
 
 
