@@ -28,41 +28,49 @@ def mark_sessions(events: DataFrame, key: str, time: str, gap_seconds: float = 1
     gap = int(round(gap_seconds * 1_000_000))
     width = max(int(bucket_seconds * 1_000_000), gap + 1)
     # equal times of a key are one interval; this also shrinks a clock stuck at one value before the shuffle
-    points = (
-        events.select(col(key).alias("key"), _micros(col(time)).alias("t"))
-        .where(F.col("key").isNotNull() & F.col("t").isNotNull())
-        .distinct()
-        .withColumn("bucket", F.floor(F.col("t") / width))
-    )
-    return _stitch(points, gap)
+    points = events.select(col(key).alias("key"), _micros(col(time)).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull()).distinct()
+    merged = merge_intervals(points.select("key", F.col("t").alias("s"), (F.col("t") + gap).alias("e")), width)
+    return merged.select("key", F.col("s").alias("t"), F.col("merged_s").alias("session_t"))
 
 
-def _stitch(points: DataFrame, gap: int) -> DataFrame:
-    local = Window.partitionBy("key", "bucket").orderBy("t")
-    inside = points.withColumn("before", F.lag("t").over(local))
-    # merged state of a bucket: its first and last time, and the start of the last interval that began inside it
-    state = inside.groupBy("key", "bucket").agg(
-        F.min("t").alias("first_t"),
-        F.max("t").alias("last_t"),
-        F.max(F.when(F.col("t") - F.col("before") > gap, F.col("t"))).alias("inner_start"),
-    )
+def merge_intervals(rows: DataFrame, width: int) -> DataFrame:
+    """``key, s, e, merged_s`` of intervals ``key, s, e`` (distinct, numbers, s <= e): the start of the union of intervals that touch.
+
+    Two levels, as merging is associative: first inside buckets of ``width``, then between the buckets of a key, through one row that
+    holds the bucket's last end and one with the start of the last union that began inside it. Intervals may be of any length: single
+    events with their gap, or unions merged before.
+    """
+    rows = rows.select("key", "s", "e", F.floor(F.col("s") / width).alias("bucket"))
+    local = Window.partitionBy("key", "bucket").orderBy("s", "e")
+    ahead = local.rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("reach", F.max("e").over(ahead))
+    state = inside.groupBy("key", "bucket").agg(F.max("e").alias("last_e"))
+    # an interval may reach over whole buckets, so the ends of all before count
     across = Window.partitionBy("key").orderBy("bucket")
     upto = across.rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.col("last_before").isNull() | (F.col("first_t") - F.col("last_before") > gap)
-    carried = (
-        state.withColumn("last_before", F.lag("last_t").over(across))
-        .withColumn("opens", opens)
-        .withColumn("last_start", F.coalesce("inner_start", F.when(F.col("opens"), F.col("first_t"))))
-        .withColumn("carry", F.when(F.col("opens"), F.col("first_t")).otherwise(F.last("last_start", ignorenulls=True).over(upto)))
-        .select("key", "bucket", "carry")
-    )
-    running = local.rowsBetween(Window.unboundedPreceding, 0)
-    started = F.max(F.when(F.col("t") - F.col("before") > gap, F.col("t"))).over(running)
-    return (
-        inside.withColumn("own", started)
-        .join(carried, ["key", "bucket"])
-        .select("key", "t", F.coalesce("own", "carry").alias("session_t"))
-    )
+    joined = inside.join(state.select("key", "bucket", F.max("last_e").over(upto).alias("before_e")), ["key", "bucket"])
+    starts = F.when((F.col("reach").isNull() | (F.col("s") > F.col("reach"))) & (F.col("before_e").isNull() | (F.col("s") > F.col("before_e"))), F.col("s"))
+    marked = joined.withColumn("own", F.max(starts).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    # the start that a bucket hands on: its last own one, else that of the bucket before
+    last = joined.withColumn("st", starts).groupBy("key", "bucket").agg(F.max("st").alias("last_start"))
+    handed = last.withColumn("carry", F.last("last_start", ignorenulls=True).over(upto)).select("key", "bucket", "carry")
+    return marked.join(handed, ["key", "bucket"]).select("key", "s", "e", F.coalesce("own", "carry").alias("merged_s"))
+
+
+def on_time(events: DataFrame, key: str, time: str, arrival: Column, lateness_seconds: float) -> DataFrame:
+    """The events with ``on_time``: whether an event stands at or after its key's watermark when it arrives.
+
+    ``arrival`` orders the batches events come in; a key's watermark is the greatest time of all batches before less the lateness. One row
+    per key and batch carries it. Events without key, time or arrival have NULL.
+    """
+    late = int(round(lateness_seconds * 1_000_000))
+    rows = events.withColumn("ot_batch", arrival).withColumn("ot_t", _micros(col(time)))
+    tops = rows.where(col(key).isNotNull() & F.col("ot_t").isNotNull() & F.col("ot_batch").isNotNull()).groupBy(col(key).alias("ot_key"), F.col("ot_batch").alias("ot_b")).agg(F.max("ot_t").alias("top"))
+    before = Window.partitionBy("ot_key").orderBy("ot_b").rowsBetween(Window.unboundedPreceding, -1)
+    marks = tops.withColumn("mark", F.max("top").over(before) - late).withColumn("ot_known", F.lit(True)).drop("top")
+    j = rows.join(marks, (col(key) == F.col("ot_key")) & (F.col("ot_batch") == F.col("ot_b")), "left")
+    good = F.when(F.col("ot_known") & F.col("ot_t").isNotNull(), F.col("mark").isNull() | (F.col("ot_t") >= F.col("mark")))
+    return j.select(*[col(c) for c in events.columns if c != "on_time"], good.alias("on_time"))
 
 
 def sessionize(
@@ -98,11 +106,9 @@ def sessionize(
         F.col("key").isNotNull() & F.col("t").isNotNull()
     )
     # one row per (key, time): repeated deliveries and stuck clocks collapse map-side
-    ticks = (
-        rows.groupBy("key", "t", "id", "grp").agg(F.lit(1).alias("x"))
-        .withColumn("bucket", F.floor(F.col("t") / width))
-    )
-    starts = _stitch(ticks.select("key", "t", "bucket").distinct(), gap)
+    ticks = rows.groupBy("key", "t", "id", "grp").agg(F.lit(1).alias("x"))
+    points = ticks.select("key", F.col("t").alias("s"), (F.col("t") + gap).alias("e")).distinct()
+    starts = merge_intervals(points, width).select("key", F.col("s").alias("t"), F.col("merged_s").alias("session_t"))
     tagged = ticks.join(starts, ["key", "t"]).select("key", "session_t", "t", "id", "grp")
     # count distinct ids and groups by first collapsing (session, id) and (session, group): no set grows in one task
     ids = tagged.groupBy("key", "session_t", "id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))

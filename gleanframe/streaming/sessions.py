@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.session import col
+from gleanframe.operators.sessions import mark_sessions, sessionize
+from gleanframe.session import col, forget, materialize
 
 
 def stream_sessions(events: DataFrame, key: str, time: str, event_id: str, gap_seconds: int = 120, lateness: str = "10 minutes") -> DataFrame:
@@ -25,18 +26,67 @@ def stream_sessions(events: DataFrame, key: str, time: str, event_id: str, gap_s
     return s.select(F.col("key").alias(key), "session_start", "session_end", duration.alias("duration_s"), "events")
 
 
-def latest_by_key(batch: Callable[[DataFrame], None], key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that reduces each micro-batch to the last row of every key and hands it to ``batch``; a batch that comes
-    again (same number) is skipped, so the sink sees every batch once."""
-    done: set[int] = set()
+class SessionLog:
+    """A ``foreachBatch`` sink that keeps sessions as tables in a folder, by the same merging of intervals as the batch form.
+
+    Open is what may still grow: the events of sessions whose interval reaches the key's watermark, the greatest time of the batches before
+    less ``lateness_seconds``. A batch's events behind the watermark are left out and counted; the others open their intervals, which merge
+    with the open ones, so that an event can close the space between two sessions; sessions the new watermark has passed are written out.
+    Every table carries the number of its batch and is overwritten when the batch comes again, so a restart changes nothing.
+    """
+
+    def __init__(self, folder: str, key: str, time: str, event_id: str, gap_seconds: float = 120.0, lateness_seconds: float = 600.0) -> None:
+        self.folder, self.key, self.time, self.event_id = folder, key, time, event_id
+        self.gap, self.lateness = gap_seconds, int(round(lateness_seconds * 1_000_000))
+
+    def _read(self, spark, name: str, number: int, ddl: str) -> DataFrame:
+        at = f"{self.folder}/{name}/{number}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(ddl).parquet(at) if there else spark.createDataFrame([], ddl)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark, kinds = batch.sparkSession, dict(batch.dtypes)
+        events_ddl, marks_ddl = f"key {kinds[self.key]}, t timestamp, id {kinds[self.event_id]}", f"key {kinds[self.key]}, mark long"
+        come = batch.select(col(self.key).alias("key"), col(self.time).cast("timestamp").alias("t"), col(self.event_id).alias("id")).dropna(subset=["key", "t"])
+        marks = self._read(spark, "marks", number - 1, marks_ddl)
+        good = come.join(marks, "key", "left").withColumn("late", F.coalesce(F.unix_micros("t") < F.col("mark"), F.lit(False)))
+        good = materialize(good.select("key", "t", "id", "late"), "come")
+        top = good.groupBy("key").agg((F.max(F.unix_micros("t")) - self.lateness).alias("new"))
+        now = marks.join(top, "key", "full").select("key", F.greatest("mark", "new").alias("mark"))
+        self._write(now, "marks", number)
+        now = spark.read.schema(marks_ddl).parquet(f"{self.folder}/marks/{number}")
+        events = materialize(self._read(spark, "open", number - 1, events_ddl).unionByName(good.where("NOT late").drop("late")).distinct(), "events")
+        found = mark_sessions(events, "key", "t", self.gap)
+        ends = found.groupBy("key", "session_t").agg(F.max("t").alias("end_t")).join(now, "key", "left")
+        ends = ends.withColumn("passed", F.coalesce(F.col("end_t") + int(round(self.gap * 1_000_000)) < F.col("mark"), F.lit(False)))
+        tagged = events.withColumn("m", F.unix_micros("t")).join(found.withColumnRenamed("t", "m"), ["key", "m"]).join(ends.select("key", "session_t", "passed"), ["key", "session_t"])
+        tagged = materialize(tagged.select("key", "t", "id", "passed"), "tagged")
+        self._write(tagged.where("NOT passed").drop("passed"), "open", number)
+        self._write(sessionize(tagged.where("passed"), "key", "t", "id", self.gap).drop("groups"), "closed", number)
+        self._write(good.groupBy("key").agg(F.count_if("late").alias("late")).where("late > 0"), "late", number)
+        for t in (good, events, tagged):
+            forget(t)
+
+    def _write(self, df: DataFrame, name: str, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number}")
+
+    def sessions(self, spark, last: int) -> DataFrame:
+        """All sessions up to batch ``last``, those still open with what they have: ``key, session_start, session_end, duration_s, events, first_id, last_id, open``."""
+        closed = spark.read.option("recursiveFileLookup", True).parquet(f"{self.folder}/closed").withColumn("open", F.lit(False))
+        rest = sessionize(spark.read.parquet(f"{self.folder}/open/{last}"), "key", "t", "id", self.gap).drop("groups").withColumn("open", F.lit(True))
+        return closed.unionByName(rest)
+
+
+def latest_by_key(sink: Callable[[DataFrame, int], None], key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that reduces each micro-batch to the last row of every key and hands it to ``sink`` with the batch's number.
+
+    A batch may come again after a restart, under the same number and with the same rows: the sink writes by number, overwriting.
+    """
 
     def run(df: DataFrame, number: int) -> None:
-        if number in done:
-            return
         rest = [c for c in df.columns if c not in (key, order)]
-        last = df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("x")).select(key, "x.*")
-        batch(last)
-        done.add(number)
+        sink(df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("x")).select(key, "x.*"), number)
 
     return run
 

@@ -98,3 +98,59 @@ def test_stream_sessions_merge_late_events(spark, tmp_path):
     finally:
         q.stop()
     assert ("a", at(0), at(200), 3) in got and ("b", at(300), at(300), 1) in got
+
+
+def test_unions_of_intervals_of_any_length(spark):
+    from gleanframe.operators.sessions import merge_intervals
+
+    r = random.Random(2)
+    rows = list({(r.choice("ab"), s, s + r.choice([3, 10, 10, 400])) for s in (r.randrange(5000) for _ in range(300))})
+    got = {(x["key"], x["s"], x["e"]): x["merged_s"] for x in merge_intervals(spark.createDataFrame(rows, "key string, s long, e long"), 50).collect()}
+    for k in "ab":
+        start = end = None
+        for s, e in sorted((s, e) for a, s, e in rows if a == k):
+            if end is None or s > end:
+                start, end = s, e
+            end = max(end, e)
+            assert got[k, s, e] == start
+
+
+def test_session_log_equals_the_batch_form_with_its_watermark(spark, tmp_path):
+    """Batches with late events, one of them delivered twice: the log, the watermark rule of the batch form and a plain walk agree."""
+    from gleanframe.operators.sessions import on_time
+    from gleanframe.streaming.sessions import SessionLog
+
+    r = random.Random(3)
+    rows = []
+    for b in range(4):
+        for i in range(60):
+            rows.append((b, r.choice("xy"), at(b * 1500 + r.randrange(-2500, 1500)), 100 * b + i))
+    ddl = "b int, cam string, t timestamp, id long"
+    log = SessionLog(str(tmp_path / "log"), "cam", "t", "id", 120.0, 600.0)
+    for b in range(4):
+        for _ in range(2 if b == 1 else 1):
+            log(spark.createDataFrame([x for x in rows if x[0] == b], ddl), b)
+    got = sorted((x["key"], x["session_start"], x["session_end"], x["events"]) for x in log.sessions(spark, 3).collect())
+    kept = on_time(spark.createDataFrame(rows, ddl), "cam", "t", F.col("b"), 600.0)
+    batch = sorted((x["cam"], x["session_start"], x["session_end"], x["events"]) for x in sessionize(kept.where("on_time"), "cam", "t", "id").collect())
+    mark, good = {}, []
+    for b in range(4):
+        now = [x for x in rows if x[0] == b]
+        good += [(x[3], x[1], x[2], "s", 1) for x in now if x[1] not in mark or x[2] >= mark[x[1]]]
+        for c in "xy":
+            mark[c] = max([mark.get(c, datetime.min)] + [x[2] - timedelta(seconds=600) for x in now if x[1] == c])
+    assert 0 < len(good) < len(rows)
+    assert [(c, n) for c, _, _, n in got] == [(c, n) for c, _, _, n in batch] and got == batch
+    assert sorted((c, n, d) for c, _, _, n, _, d in walk(good)) == sorted((c, n, (e - s).total_seconds()) for c, s, e, n in got)
+    late = sum(x["late"] for x in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "log" / "late")).collect())
+    assert late == len(rows) - len(good)
+
+
+def test_latest_by_key_hands_on_the_number(spark):
+    from gleanframe.streaming.sessions import latest_by_key
+
+    seen = {}
+    run_batch = latest_by_key(lambda df, n: seen.__setitem__(n, [tuple(x) for x in df.collect()]), "k", "o")
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, o int, v string")
+    run_batch(df, 7), run_batch(df, 7)
+    assert seen == {7: [("a", 2, "y")]}
