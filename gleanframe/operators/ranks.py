@@ -27,3 +27,17 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     on = [F.shiftright("nm_at", 33) == F.col("nm_range"), *[col(k).eqNullSafe(b) for k, b in zip(keys, by)]]
     placed = now.join(runs, on).withColumn(out, F.col("nm_at") - F.col("nm_first") + F.col("nm_before") + 1)
     return placed.select(*[col(c) for c in rows.columns if c != out], out)
+
+
+def medians(rows: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """``keys, out``: the exact median of the known values of each group of any size, the mean of the two middle ones of an even number.
+
+    The values are sorted into ranges; only the one or two rows in a group's middle are averaged. Groups without a value have no row.
+    """
+    r = rows.select(*[col(k) for k in keys], col(value).cast("double").alias("md_v")).where(F.col("md_v").isNotNull() & ~F.isnan("md_v"))
+    r = numbered(r, keys, [F.col("md_v")], "md_at")
+    n = r.groupBy(*[col(k).alias(f"md_{i}") for i, k in enumerate(keys)]).agg(F.max("md_at").alias("md_n"))
+    on = [col(k).eqNullSafe(F.col(f"md_{i}")) for i, k in enumerate(keys)]
+    # one row a group tells its size, so the middle is known before anything is joined to all rows
+    mid = r.join(n, on).where((2 * F.col("md_at") - F.col("md_n")).isin(0, 1, 2) & (F.col("md_at") >= F.col("md_n") / 2) & (F.col("md_at") <= F.col("md_n") / 2 + 1))
+    return mid.groupBy(*[col(k) for k in keys]).agg(F.avg("md_v").alias(out))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import scalars as sc
 from gleanframe.functions import vectors
-from gleanframe.operators import scoring, selection, similarity
+from gleanframe.operators import preselection, scoring, selection, similarity
 from gleanframe.plans.registry import Registry, table
 
 SELECTION = Registry()
@@ -123,25 +123,26 @@ def pick_components(spark, sf):
     return similarity.pick_components(picks.join(unit, "id"), ["shoot"], "id", "bucket", "v", 0.3)
 
 
+_SIGNALS = ["aesthetic", "focus", "editorial", "composition", "distinctiveness", "uncertainty"]
+
+
 @SELECTION.add("diverse_preselection")
 def diverse_preselection(spark, sf):
     """Of every shoot and bucket a shortlist for variety and quality, each row with its reason."""
-    rows = scored(spark, sf, "bucket", "scene", "burst", "moment", "dino", "aesthetic", "focus", "editorial", "composition", "distinctiveness", "uncertainty")
-    rows = rows.withColumnRenamed("id", "item")
+    rows = scored(spark, sf, "bucket", "scene", "burst", "moment", "digest", "dino", *_SIGNALS).withColumnsRenamed({"id": "item", "dino": "whole"})
     n = rows.groupBy("shoot", "bucket").agg(F.count("*").alias("n")).withColumn("cap", sc.shortlist_cap(F.col("n"), sc.pick_budget(F.col("n"))))
-    return selection.diverse_preselection(rows.join(n, ["shoot", "bucket"]), ["shoot", "bucket"], "cap")
+    return preselection.diverse_preselection(rows.join(n.drop("n"), ["shoot", "bucket"]), ["shoot", "bucket"], "cap")
 
 
 @SELECTION.add("quota_shortlist")
 def quota_shortlist(spark, sf):
     """One collection-wide shortlist: square-root quotas per bucket, tied percentiles within shoots, a strict diverse selection per bucket."""
-    rows = scored(spark, sf, "bucket", "scene", "burst", "moment", "dino", "aesthetic", "focus", "editorial", "composition", "distinctiveness", "uncertainty")
+    rows = scored(spark, sf, "bucket", "scene", "burst", "moment", "digest", "dino", *_SIGNALS)
     ranked = scoring.mid_rank(rows, ["shoot", "bucket"], "score").drop("score").withColumnRenamed("mid_rank", "score")
     quota = selection.sqrt_quotas(ranked.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "n", 120).where("quota > 0")
     # scenes, moments and bursts are numbered within a shoot
-    local = F.pmod(F.xxhash64("shoot", "scene"), F.lit(2**31 - 1)).cast("int")
-    pool = ranked.join(quota, "bucket").withColumn("scene", local).withColumnRenamed("id", "item")
-    return selection.diverse_preselection(pool, ["bucket"], "quota", strict=True, most_rows=2_000_000)
+    pool = ranked.join(quota, "bucket").withColumn("scene", F.concat_ws("#", "shoot", "scene")).withColumnsRenamed({"id": "item", "dino": "whole"})
+    return preselection.diverse_preselection(pool, ["bucket"], "quota", strict=True)
 
 
 @SELECTION.add("burst_chunks")

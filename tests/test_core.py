@@ -196,24 +196,6 @@ def frame(n, **cols):
     return pd.DataFrame({**base, **cols})
 
 
-def test_preselection_cases():
-    flat = [unit(1, 0.001 * i) for i in range(20)]
-    p = frame(29, score=[1.0] * 20 + [0.8] + [-8.0] * 8, dino=flat + [unit(0, 1)] + [unit(-1, 0.1 * i) for i in range(8)], moment=[0] * 29)
-    got = selection.preselect(p, 15)
-    items = {p["item"][i] for i, _ in got}
-    assert len(got) == 15 and "i020" in items and sum(i >= 21 for i, _ in got) == 2
-    back = p.iloc[::-1].reset_index(drop=True)
-    assert {back["item"][i] for i, _ in selection.preselect(back, 15)} == items
-    wide = frame(50, scene=list(range(10)) * 5, dino=[unit(1, i) for i in range(50)])
-    for cap, strict, want in [(4, False, 10), (18, False, 18), (4, True, 4), (99, False, 50)]:
-        got = selection.preselect(wide, cap, strict=strict)
-        assert len(got) == want == len({i for i, _ in got})
-    bursts = frame(36, burst=[i // 6 for i in range(36)], scene=[0] * 36, score=np.linspace(1, 0, 36), dino=[unit(1, 0.1 * i) for i in range(36)], expression=np.arange(36) * 0.01)
-    assert any(w.startswith("burst") for _, w in selection.preselect(bursts, 12))
-    champions = frame(40, dino=[unit(1, 0.01 * i) for i in range(40)], focus=[0.0] * 39 + [9.0], score=np.linspace(1, 0, 40))
-    assert ("champion: focus") in [w for i, w in selection.preselect(champions, 10) if i == 39]
-
-
 def test_burst_chunks_keep_blocks():
     got = selection.burst_chunks(list(range(30)), [0] * 10 + [1] * 10 + [2] * 10, 16)
     assert sorted(x for b in got for x in b) == list(range(30)) and all(len(b) <= 16 for b in got) and len(got) == 2
