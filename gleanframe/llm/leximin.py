@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanframe.operators.ranks import numbered
 from gleanframe.session import col, materialize
 
 
@@ -90,32 +91,15 @@ def leximin_rank(rows: DataFrame, group: str, item: str, scores: Sequence[str],
     """``<group>, <item>, weakest, vector, place``: place 1 is the item whose ascending percentile vector is lexicographically greatest.
 
     Equal vectors are ordered by the smaller item. A missing score counts as percentile 0, so it never helps. ``head`` keeps the first
-    places of each group only (pruned in each partition before the shuffle); without it every item is placed, a group above
-    ``split_rows`` rows by range-ordered pieces. Defined cases: NULL group or item do not count; repeated items count once; an empty
+    places of each group only (pruned in each partition before the shuffle); without it every item is placed, by one range-ordered sort of
+    all. Defined cases: NULL group or item do not count; repeated items count once; an empty
     table gives no rows; further columns are ignored, whatever their names.
     """
     p = percentiles(rows, group, item, scores, split_rows)
     v = p.select("grp", "item", F.array_sort(F.array(*[F.col(f"p{i}") for i in range(len(scores))])).alias("vector"))
-    w = Window.partitionBy("grp").orderBy(F.desc("vector"), "item")
+    order = [F.desc("vector"), F.col("item")]
     if head is not None:
-        v = v.withColumn("place", F.row_number().over(w)).where(F.col("place") <= head)
-    else:
-        v = _place_all(v, w, split_rows)
+        v = v.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("place") <= head)
+    else:  # sorted in ranges, whatever the sizes of the groups and the ties of their vectors
+        v = numbered(v, ["grp"], order)
     return v.select(F.col("grp").alias(group), F.col("item").alias(item), F.col("vector")[0].alias("weakest"), "vector", F.col("place").cast("long").alias("place"))
-
-
-def _place_all(v: DataFrame, w, split_rows: int) -> DataFrame:
-    """Places inside cells of the weakest percentile, offset by the counts of the better cells: cells of a group stay bounded."""
-    v = materialize(v, "vectors")
-    sizes = v.groupBy("grp").agg(F.count("*").alias("n"))
-    v = v.join(sizes.withColumnRenamed("grp", "g2"), F.col("grp") == F.col("g2")).drop("g2")
-    # the cell is a prefix of the sorted vector: as many equal steps per element as the size asks for
-    steps = F.greatest(F.ceil(F.col("n") / split_rows), F.lit(1))
-    deep = F.lit(1024)
-    cell = lambda i: F.when(steps > 1, F.floor(F.get(F.col("vector"), F.lit(i)) * deep)).otherwise(0)
-    v = v.withColumn("c0", cell(0)).withColumn("c1", F.coalesce(cell(1), F.lit(0)))
-    counts = v.groupBy("grp", "c0", "c1").agg(F.count("*").alias("c"))
-    ahead = Window.partitionBy("grp").orderBy(F.desc("c0"), F.desc("c1")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("grp", "c0", "c1", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("grp", "c0", "c1").orderBy(F.desc("vector"), "item")
-    return v.withColumn("r", F.row_number().over(inside)).join(counts, ["grp", "c0", "c1"]).withColumn("place", F.col("base") + F.col("r"))

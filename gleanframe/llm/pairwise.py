@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanframe.llm.graph import components
+from gleanframe.operators.graph import components
 from gleanframe.operators.ranks import numbered
 from gleanframe.session import col, forget, materialize, spread
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe.llm import graph, leximin, pairwise, survivor, topn
+from gleanframe.llm import leximin, pairwise, survivor, topn
+from gleanframe.operators import graph
 
 NAN = float("nan")
 T0 = datetime(2021, 3, 1)
