@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.scalars import clip, exposure_penalty, subject_term
+from gleanframe.operators.ranks import medians
 
 
 def clean(x: Column) -> Column:
@@ -54,9 +55,16 @@ def score(rows: DataFrame, keys: Sequence[str], aesthetic_weight: float = 0.6, s
     return r.withColumn("focus_rank", focus).withColumn("score", total).drop(*drop)
 
 
+def with_median(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The rows with the exact median of their group's known values, of groups of any size."""
+    m = medians(rows.select(*keys, value), keys, value, out)
+    m = m.select(*[F.col(k).alias(f"wm_{k}") for k in keys], out)
+    return rows.join(m, [F.col(k).eqNullSafe(F.col(f"wm_{k}")) for k in keys], "left").drop(*[f"wm_{k}" for k in keys])
+
+
 def scene_medians(rows: DataFrame, keys: Sequence[str], value: str, least: int = 3) -> DataFrame:
     """Adds ``scene_median``: the exact median of the group, 0 for groups under ``least`` rows or a negative last key."""
-    r = with_stats(rows, keys, med=F.median(clean(F.col(value))), cnt=F.count(F.lit(1)))
+    r = with_median(with_stats(rows, keys, cnt=F.count(F.lit(1))), keys, value, "med")
     return r.withColumn("scene_median", F.when((F.col(keys[-1]) >= 0) & (F.col("cnt") >= least), F.coalesce("med", F.lit(0.0))).otherwise(0.0)).drop("med", "cnt")
 
 
@@ -82,8 +90,7 @@ def mid_rank(rows: DataFrame, keys: Sequence[str], value: str, out: str = "mid_r
 
 def robust_quality(rows: DataFrame, keys: Sequence[str], value: str, out: str = "quality") -> DataFrame:
     """Adds the logistic of (value - median) over the robust scale max(1.4826 MAD, 1), clipped at 30."""
-    r = with_stats(rows, keys, rq_med=F.median(value))
-    r = r.withColumn("rq_dev", F.abs(F.col(value) - F.col("rq_med")))
-    r = with_stats(r, keys, rq_mad=F.median("rq_dev"))
+    r = with_median(rows, keys, value, "rq_med").withColumn("rq_dev", F.abs(F.col(value) - F.col("rq_med")))
+    r = with_median(r, keys, "rq_dev", "rq_mad")
     x = clip((F.col(value) - F.col("rq_med")) / F.greatest(1.4826 * F.col("rq_mad"), F.lit(1.0)), -30.0, 30.0)
     return r.withColumn(out, 1 / (1 + F.exp(-x))).drop("rq_med", "rq_dev", "rq_mad")

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.scalars import similarity_bonus
-from gleanframe.functions.vectors import dot, softmax_weights
-from gleanframe.session import col, materialize
+from gleanframe.session import col
 
 
 def exact_twins(rows: DataFrame, item: str, digest: str, score: str, within: Sequence[str] = ()) -> DataFrame:
@@ -29,40 +29,39 @@ def exact_twins(rows: DataFrame, item: str, digest: str, score: str, within: Seq
     return base.join(best, on).select(*[F.col(x).alias(k) for x, k in zip(w, within)], F.col("item").alias(item), "keeper", "twins")
 
 
-def duplicate_test(
-    digest: tuple[Column, Column], whole: Column, pixels: Column | None, crop: Column | None, same_view: Column, dup_sim: float = 0.89, dup_pixel: float = 0.90, reframe: float = 0.98
-) -> Column:
-    """Whether two items are duplicates, from their similarities (NULL where either side lacks the vector).
-
-    Equal digests; or whole similarity with agreeing pixels and crops where both have them; or, of the same scene and bucket, a higher whole
-    similarity with a similar crop (``reframe`` 0 turns this way off).
-    """
-    equal = F.coalesce((digest[0] == digest[1]) & (digest[0] != ""), F.lit(False))
-    agrees = lambda s, t: F.lit(True) if s is None else F.coalesce(s >= t, F.lit(True))
-    plain = F.coalesce((whole >= dup_sim) & agrees(pixels, dup_pixel) & agrees(crop, dup_sim), F.lit(False))
-    if reframe <= 0 or crop is None:
-        return equal | plain
-    return equal | plain | F.coalesce(same_view & (whole >= max(dup_sim, reframe)) & (crop >= dup_sim), F.lit(False))
-
-
 def classify(rows: DataFrame, item: str, vector: str, labels: DataFrame, label_vector: str, scale: float = 100.0) -> DataFrame:
     """``item, idx, label, label_prob, people_prob``: softmax over the cosine to every label's vector, the first best label.
 
-    ``labels`` (idx, label, is_people, vector) is a vocabulary: it is gathered to one array row and checked to hold at most 10,000.
+    ``labels`` (idx, label, is_people, vector) is a vocabulary, checked to hold at most 10,000; rows meet it in one matrix product a batch.
+    Rows without a vector of its length have no row.
     """
-    labels = materialize(labels.select("idx", "label", "is_people", col(label_vector).alias(label_vector)), "labels")
-    n = labels.count()
-    if n > 10_000:
-        raise ValueError("a label vocabulary above 10,000 rows needs a join, not an array")
-    packed = labels.agg(F.array_sort(F.collect_list(F.struct("idx", "label", "is_people", col(label_vector).alias("v")))).alias("labels"))
-    r = rows.select(col(item).alias("item"), col(vector).alias("x")).where("x IS NOT NULL").join(F.broadcast(packed))
-    r = r.withColumn("s", F.transform("labels", lambda b: dot(F.col("x"), b["v"])))
-    r = r.withColumn("w", softmax_weights(F.col("s"), scale))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    at = F.array_position("s", F.array_max("s")).cast("int")
-    people = total(F.zip_with("labels", "w", lambda b, x: F.when(b["is_people"], x).otherwise(0.0)))
-    r = r.withColumn("best", F.element_at("labels", at))
-    return r.select(F.col("item").alias(item), F.col("best.idx").alias("idx"), F.col("best.label").alias("label"), (F.element_at("w", at) / total(F.col("w"))).alias("label_prob"), (people / total(F.col("w"))).alias("people_prob"))
+    found = labels.select("idx", "label", "is_people", col(label_vector).alias("v")).orderBy("idx").limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError("a label vocabulary above 10,000 rows needs a join, not a broadcast")
+    kind = dict(rows.dtypes)[item]
+    table = np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), -1)
+    people = np.array([bool(r["is_people"]) for r in found], dtype=bool)
+    sent = rows.sparkSession.sparkContext.broadcast((table, people, [int(r["idx"]) for r in found], [r["label"] for r in found]))
+
+    def run(batches):
+        table, people, idx, names = sent.value
+        for b in batches:
+            ids, v = b.column(0), b.column(1)
+            lengths = np.where(v.is_valid().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy()), -1)
+            good = pa.array(lengths == table.shape[1])
+            x = v.filter(good).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(table.shape[1], 1))
+            if not len(x) or not len(names):
+                continue
+            s = x @ table.T
+            w = np.exp(scale * (s - s.max(1, keepdims=True)))
+            at, total = s.argmax(1), w.sum(1)
+            yield pa.RecordBatch.from_arrays(
+                [ids.filter(good), pa.array(np.array(idx)[at].astype(np.int32)), pa.array([names[i] for i in at], pa.string()), pa.array(w[np.arange(len(at)), at] / total), pa.array(w[:, people].sum(1) / total)],
+                ["item", "idx", "label", "label_prob", "people_prob"],
+            )
+
+    out = rows.select(col(item).alias("item"), col(vector).alias("x")).mapInArrow(run, f"item {kind}, idx int, label string, label_prob double, people_prob double")
+    return out.withColumnRenamed("item", item)
 
 
 def reference_bonus(rows: DataFrame, item: str, vector: str, reference: np.ndarray, weight: float = 0.5) -> DataFrame:
@@ -83,40 +82,6 @@ def reference_bonus(rows: DataFrame, item: str, vector: str, reference: np.ndarr
     return out.select(F.col("item").alias(item), best.alias("best"), F.coalesce(similarity_bonus(best, weight), F.lit(0.0)).alias("bonus"))
 
 
-def pick_components(picks: DataFrame, keys: Sequence[str], item: str, bucket: str, vector: str, cosine: float = 0.89, most: int = 5000) -> DataFrame:
-    """``keys, item, component``: picks of different buckets linked by ``cosine``; the component is its smallest item.
-
-    Picks of one key are bounded by its budgets; a key above ``most`` picks is an error.
-    """
-    kinds = dict(picks.dtypes)
-    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", item {kinds[item]}, component {kinds[item]}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} picks in one key")
-        pdf = pdf.sort_values("item", kind="stable").drop_duplicates("item").reset_index(drop=True)
-        n = len(pdf)
-        link = np.zeros((n, n), dtype=bool)
-        ok = pdf.v.map(lambda x: x is not None).to_numpy()
-        if ok.any():
-            x = np.stack(pdf.v[ok].to_numpy()).astype(np.float64)
-            at = np.flatnonzero(ok)
-            other = pdf.bucket.to_numpy()[at][:, None] != pdf.bucket.to_numpy()[at][None, :]
-            link[np.ix_(at, at)] = (x @ x.T >= cosine) & other
-        part = np.arange(n)
-        while True:
-            low = np.where(link, part[None, :], n).min(1, initial=n)
-            new = np.minimum(part, low)
-            new = new[new]
-            if (new == part).all():
-                break
-            part = new
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "item": pdf.item, "component": pdf.item.to_numpy()[part]})
-
-    rows = picks.select(*[col(k) for k in keys], col(item).alias("item"), col(bucket).alias("bucket"), col(vector).alias("v"))
-    return rows.groupBy(*keys).applyInPandas(run, out).withColumnRenamed("item", item)
-
-
 def best_match(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
     """The first row of each key in a stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)

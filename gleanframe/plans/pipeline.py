@@ -6,28 +6,29 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import scalars as sc
 from gleanframe.functions import vectors
-from gleanframe.operators import refine, scoring, selection
+from gleanframe.operators import duplicates, refine, scoring, selection
+from gleanframe.operators.duplicates import Rule
 from gleanframe.plans.registry import Registry, table
 from gleanframe.plans.review import SEL, selections, votes
 from gleanframe.plans.scoring import _SCORE, U, photos, r6
 from gleanframe.plans.selection import C, scored
-from gleanframe.session import materialize, spread
+from gleanframe.session import materialize
 
 PIPELINE = Registry()
-SIMILAR = 0.9
+SIMILAR, CUTOFF = 0.9, -0.5
 
 _IP = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 _SELECT = "WITH RECURSIVE " + U[5:-1] + _SCORE + f""", w AS (SELECT photo_id, day, coalesce(label, 'none') AS label, reject, score,
   CASE WHEN len(dino) = 64 AND len(list_filter(dino, lambda x: x <> 0)) > 0 THEN list_transform(coalesce(dino, []), lambda x: CAST(x AS DOUBLE)) END AS v0 FROM s),
 x AS (SELECT * EXCLUDE (v0), list_transform(v0, lambda x: x / sqrt({_IP.format(a='v0', b='v0')})) AS v FROM w),
 bud AS (SELECT day, label, least(5 + count(*) // 40, 15) AS budget FROM x WHERE reject = '' GROUP BY 1, 2),
-o AS (SELECT x.*, budget, row_number() OVER (PARTITION BY x.day ORDER BY score DESC, photo_id) AS rn FROM x JOIN bud USING (day, label) WHERE reject = ''),
+o AS (SELECT x.*, budget, row_number() OVER (PARTITION BY x.day ORDER BY score DESC, photo_id) AS rn FROM x JOIN bud USING (day, label) WHERE reject = '' AND score >= {CUTOFF}),
 f(day, rn, picks) AS (SELECT day, 0, CAST([] AS STRUCT(id BIGINT, label VARCHAR, v DOUBLE[])[]) FROM (SELECT DISTINCT day FROM o) UNION ALL
  SELECT o.day, o.rn, CASE WHEN len(list_filter(f.picks, lambda p: p.label = o.label)) >= o.budget OR len(list_filter(f.picks, lambda p: coalesce({_IP.format(a='p.v', b='o.v')} >= {SIMILAR}, false))) > 0
    THEN f.picks ELSE list_append(f.picks, {{'id': o.photo_id, 'label': o.label, 'v': o.v}}) END FROM f JOIN o ON o.day = f.day AND o.rn = f.rn + 1),
 l AS (SELECT day, arg_max(picks, rn) AS picks FROM f GROUP BY 1)
 SELECT photo_id, reject = '' AND len(list_filter(coalesce(picks, []), lambda p: p.id = photo_id)) > 0 AS selected,
- CASE WHEN reject <> '' THEN 'Rejected: ' || reject WHEN len(list_filter(coalesce(picks, []), lambda p: p.id = photo_id)) > 0 THEN 'Selected by score'
+ CASE WHEN reject <> '' THEN 'Rejected: ' || reject WHEN len(list_filter(coalesce(picks, []), lambda p: p.id = photo_id)) > 0 THEN 'Selected by score' WHEN coalesce(score < {CUTOFF}, true) THEN 'Below requested score cutoff'
  WHEN len(list_filter(coalesce(picks, []), lambda p: coalesce({_IP.format(a='p.v', b='x.v')} >= {SIMILAR}, false))) > 0
  THEN 'Similar to selected ' || list_min(list_transform(list_filter(coalesce(picks, []), lambda p: coalesce({_IP.format(a='p.v', b='x.v')} >= {SIMILAR}, false)), lambda p: p.id)) ELSE 'Group budget filled' END AS decision
 FROM x LEFT JOIN l USING (day)"""
@@ -35,19 +36,22 @@ FROM x LEFT JOIN l USING (day)"""
 
 @PIPELINE.add("select_photos", _SELECT)
 def select_photos(spark, sf):
-    """Every photo with ``selected`` and ``decision``: picks per day and label under budgets, none a near copy of another pick of its day."""
+    """Every photo with ``selected`` and ``decision``: picks per day and label above a cutoff and under budgets, none a near copy of another pick of
+    its day."""
     rows = photos(spark, sf, "day", "label", "aesthetic", "sharpness", "subject_sharpness", "clip_high", "clip_low", "subject", "edge", "composition_bonus", "reject", "dino")
     rows = scoring.score(rows, ["day", "label"]).withColumn("label", F.coalesce("label", F.lit("none")))
     # four plans below read the scored rows; they are made once
-    rows = materialize(vectors.with_unit(spread(rows, "photo_id"), "dino", "v", 64).select("photo_id", "day", "label", "score", "reject", "v"), "scored")
+    rows = materialize(rows.select("photo_id", "day", "label", "score", "reject", F.when(F.size("dino") == 64, F.col("dino")).alias("whole")), "scored")
     open_rows = rows.where("reject = ''")
     budgets = open_rows.groupBy("day", "label").agg(sc.pick_budget(F.count("*")).alias("budget"))
-    picks = selection.greedy_select(open_rows, ["day"], "photo_id", "label", "score", "v", budgets, dup_sim=SIMILAR).select("photo_id", F.lit(True).alias("picked"))
-    left_out = open_rows.join(picks, "photo_id", "left_anti")
-    like = selection.resembled(left_out, open_rows.join(picks, "photo_id", "left_semi"), ["day"], "photo_id", "v", SIMILAR)
+    rule = Rule(SIMILAR, reframe=0)
+    picks = selection.greedy_select(open_rows, ["day"], "photo_id", "label", "score", budgets, rule, CUTOFF).select("photo_id", F.lit(True).alias("picked"))
+    picks = materialize(picks, "picked")
+    left_out = open_rows.where(F.col("score") >= CUTOFF).join(picks, "photo_id", "left_anti")
+    like = duplicates.resembled(left_out, open_rows.join(picks, "photo_id", "left_semi"), ["day"], "photo_id", rule, "label").select("photo_id", "like")
     r = rows.join(picks, "photo_id", "left").join(like, "photo_id", "left").withColumn("selected", F.coalesce("picked", F.lit(False)))
     text = F.when(F.col("reject") != "", F.concat(F.lit("Rejected: "), "reject")).when(F.col("selected"), "Selected by score")
-    text = text.when(F.col("like").isNotNull(), F.concat(F.lit("Similar to selected "), F.col("like").cast("string"))).otherwise("Group budget filled")
+    text = text.when(F.coalesce(F.col("score") < CUTOFF, F.lit(True)), "Below requested score cutoff").when(F.col("like").isNotNull(), F.concat(F.lit("Similar to selected "), F.col("like").cast("string"))).otherwise("Group budget filled")
     return r.select("photo_id", "selected", text.alias("decision"))
 
 
@@ -91,26 +95,15 @@ def forced_items(spark, sf):
 
 @PIPELINE.add(
     "suffix_matches",
-    SEL + r""", d AS (SELECT DISTINCT CASE WHEN place % 2 = 0 THEN id ELSE regexp_extract(id, '([^/]*)$', 1) END AS file FROM sel WHERE place <= 20), q AS (SELECT DISTINCT '/archive/x/' || id AS path FROM sel WHERE place <= 40),
-m AS (SELECT path, count(file) AS n, min(file) AS f FROM q LEFT JOIN d ON ends_with(path, '/' || file) GROUP BY 1) SELECT path, CASE WHEN n = 1 THEN f END AS file, n AS matches FROM m""",
+    SEL + r""", d AS (SELECT DISTINCT CASE WHEN place % 2 = 0 THEN id ELSE regexp_extract(id, '([^/]*)$', 1) END AS file FROM sel), q AS (SELECT DISTINCT '/archive/x/' || id AS path FROM sel),
+t AS (SELECT path, split(path, '/') AS parts FROM q), o AS (SELECT DISTINCT path, array_to_string(parts[i:], '/') AS tail FROM (SELECT path, parts, unnest(range(2, len(parts) + 1)) AS i FROM t)),
+m AS (SELECT path, count(*) AS n, min(file) AS f FROM o JOIN d ON tail = file GROUP BY 1) SELECT q.path, CASE WHEN n = 1 THEN f END AS file, coalesce(n, 0) AS matches FROM q LEFT JOIN m USING (path)""",
 )
 def suffix_matches(spark, sf):
+    """Of all files and paths of every shoot: every second file is declared by its path, the others by name."""
     from gleanframe.functions import texts
 
-    s = selections(spark, sf)
-    declared = s.where("place <= 20").select(F.when(F.col("place") % 2 == 0, F.col("id")).otherwise(texts.base_name(F.col("id"))).alias("file"))
-    return refine.match_suffix(s.where("place <= 40").select(F.concat(F.lit("/archive/x/"), "id").alias("path")), "path", declared, "file")
-
-
-@PIPELINE.add("suffix_matches_all")
-def suffix_matches_all(spark, sf):
-    """As ``suffix_matches``, of all files and paths of every shoot: every second file is declared by its path, the others by name.
-
-    The SQL of ``suffix_matches`` takes the first 20 files and 40 paths of a shoot, as its join compares each path with each file.
-    """
-    from gleanframe.functions import texts
-
-    s = selections(spark, sf).select("id", "place")
+    s = selections(spark, sf, every_place=True).select("id", "place")
     declared = s.select(F.when(F.col("place") % 2 == 0, F.col("id")).otherwise(texts.base_name(F.col("id"))).alias("file"))
     return refine.match_suffix(s.select(F.concat(F.lit("/archive/x/"), "id").alias("path")), "path", declared, "file")
 

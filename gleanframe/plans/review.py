@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import texts
 from gleanframe.operators import decisions, evaluation, reporting, selection
+from gleanframe.operators.ranks import numbered
 from gleanframe.plans.registry import Registry, table
 from gleanframe.plans.selection import C, candidates
 from gleanframe.sources import features, files
@@ -32,14 +33,26 @@ def log(spark, sf):
     return keep.unionByName(drop).withColumn("relative", F.col("item_id")).withColumn("origin", F.lit("vote"))
 
 
-def selections(spark, sf):
+def selections(spark, sf, every_place=False):
+    """Photos with their day, the keepers of their shoot, their place in the shoot by score and whether they are picked.
+
+    Places are known as far as a pick or a report needs them, which Spark prunes in every partition; with ``every_place`` of all photos, by
+    one range-ordered sort.
+    """
     from pyspark.sql import Window
 
     p = table(spark, sf, "photos").select("photo_id", F.col("path").alias("id"), "shoot", "moment", "scene", "reject", "aesthetic", "label", "time").dropDuplicates(["photo_id"])
     p = p.withColumn("day", F.coalesce(F.date_format("time", "yyyy-MM-dd"), F.lit("unknown-date")))
-    w = Window.partitionBy("shoot").orderBy(F.desc_nulls_last("aesthetic"), "id")
-    p = p.withColumn("place", F.row_number().over(w)).join(table(spark, sf, "shoots").select("shoot", "keepers", "split_name"), "shoot")
-    return p.withColumn("picked", F.when(F.col("reject") == "exposure", None).otherwise(F.col("place") <= F.col("keepers")))
+    shoots = table(spark, sf, "shoots").select("shoot", "keepers", "split_name")
+    order = [F.desc_nulls_last("aesthetic"), F.col("id")]
+    if every_place:
+        p = numbered(p.join(shoots, "shoot"), ["shoot"], order)
+    else:
+        most = max(30, 2 * (shoots.agg(F.max("keepers")).first()[0] or 0))
+        lean = table(spark, sf, "photos").select("photo_id", F.col("path").alias("id"), "shoot", "aesthetic").dropDuplicates(["photo_id"])
+        head = lean.withColumn("place", F.row_number().over(Window.partitionBy("shoot").orderBy(*order))).where(F.col("place") <= most)
+        p = p.join(head.select("photo_id", "place"), "photo_id", "left").join(shoots, "shoot")
+    return p.withColumn("picked", F.when(F.col("reject") == "exposure", None).otherwise(F.coalesce(F.col("place") <= F.col("keepers"), F.lit(False))))
 
 
 @REVIEW.add("latest_decisions", "WITH " + V + "SELECT id AS item_id, revision, choice, note FROM state")
@@ -110,7 +123,7 @@ def recall_delta(spark, sf):
     fav = votes(spark, sf).where("winner IS NOT NULL").select("shoot", F.col("winner").alias("id")).distinct()
     rows = selections(spark, sf).join(fav, ["shoot", "id"], "left_semi")
     narrow = evaluation.recall_counts(rows, ["shoot"], "picked")
-    wide = evaluation.recall_counts(rows.withColumn("wide", F.col("place") <= 2 * F.col("keepers")), ["shoot"], "wide")
+    wide = evaluation.recall_counts(rows.withColumn("wide", F.coalesce(F.col("place") <= 2 * F.col("keepers"), F.lit(False))), ["shoot"], "wide")
     return evaluation.delta(wide, narrow, ["shoot"])
 
 
@@ -126,12 +139,16 @@ def corrections(spark, sf):
     return evaluation.corrections(selections(spark, sf), fav, bad, ["shoot"], "id", "picked")
 
 
-@REVIEW.add("moved_decisions")
+@REVIEW.add(
+    "moved_decisions",
+    C + """, u AS (SELECT digest, min(id) AS id, min(CASE WHEN coalesce(score, 0) > 0 THEN 'keep' ELSE 'reject' END) AS choice FROM c WHERE digest <> '' GROUP BY 1 HAVING count(*) = 1)
+SELECT 'old/' || id AS old_relative, id AS new_relative, digest, choice FROM u""",
+)
 def moved_decisions(spark, sf):
-    """Every third candidate was decided under another folder; the decisions follow their content where it is unique."""
-    rows = candidates(spark, sf, "digest").select(F.col("id").alias("relative"), "digest")
-    decided = rows.where(F.pmod(F.xxhash64("relative"), F.lit(3)) == 0).select(F.concat(F.lit("old/"), "relative").alias("relative"), "digest", F.lit("keep").alias("choice"))
-    return decisions.moved(decided, rows)
+    """Every candidate was decided under another folder; the decisions follow their content where it is unique."""
+    rows = candidates(spark, sf, "digest", "score").select(F.col("id").alias("relative"), "digest", F.when(F.coalesce("score", F.lit(0.0)) > 0, "keep").otherwise("reject").alias("choice"))
+    decided = rows.withColumn("relative", F.concat(F.lit("old/"), "relative"))
+    return decisions.moved(decided, rows.drop("choice"))
 
 
 @REVIEW.add(
@@ -190,7 +207,7 @@ def report_rows(spark, sf):
 )
 def sidecar_ratings(spark, sf):
     rows = selections(spark, sf)
-    stars = reporting.rating(F.coalesce("picked", F.lit(False)), F.col("reject") != "", F.col("place") <= 30)
+    stars = reporting.rating(F.coalesce("picked", F.lit(False)), F.col("reject") != "", F.coalesce(F.col("place") <= 30, F.lit(False)))
     return rows.select("id", stars.alias("rating"), F.coalesce(reporting.folder("label", F.col("day"), F.col("label")), F.lit("")).alias("folder"))
 
 
@@ -212,14 +229,20 @@ SELECT r.id, CASE WHEN f.path IS NOT NULL THEN 'path' WHEN n.n = 1 AND m.n = 1 T
 FROM r LEFT JOIN f ON f.path = r.file LEFT JOIN n ON n.name = regexp_extract(r.file, '([^/]*)$', 1) LEFT JOIN m ON m.name = n.name""",
 )
 def matched_reports(spark, sf):
-    rows = selections(spark, sf)
+    rows = selections(spark, sf, every_place=True)
     name = texts.base_name(F.col("id"))
     file = F.when(F.col("place") % 3 == 0, F.concat(F.lit("/old/"), "id")).when(F.col("place") % 3 == 1, F.col("id")).otherwise(F.concat(F.lit("/lost/"), name))
     known = rows.select(F.col("id").alias("path"), F.concat(F.lit("x/"), "id").alias("relative"), name.alias("name")).distinct()
     return decisions.resolve(rows.select("id", file.alias("file"), F.lit(None).cast("string").alias("relative")), known).select("id", "match", "found")
 
 
-@REVIEW.add("parsed_replies")
+@REVIEW.add(
+    "parsed_replies",
+    C + """, n AS (SELECT id, shoot, scene, count(*) OVER (PARTITION BY shoot, scene) AS n, row_number() OVER (PARTITION BY shoot, scene ORDER BY id) - 1 AS i FROM c WHERE id IS NOT NULL),
+b AS (SELECT *, CAST(ceil(n / 12.0) AS BIGINT) AS m FROM n),
+h AS (SELECT *, CAST(CASE WHEN i < (n % m) * (n // m + 1) THEN i // (n // m + 1) ELSE n % m + (i - (n % m) * (n // m + 1)) // (n // m) END AS INT) AS chunk FROM b)
+SELECT shoot, scene, chunk, CAST(row_number() OVER (PARTITION BY shoot, scene, chunk ORDER BY id) - 1 AS INT) AS place, id FROM h""",
+)
 def parsed_replies(spark, sf):
     """Ranked replies written as JSON inside prose and read back: one row per pick, a scene's items in replies of at most 12 each."""
     rows = selection.balanced_chunks(candidates(spark, sf, "shoot", "scene").where("id IS NOT NULL"), ["shoot", "scene"], [F.col("id")], 12)

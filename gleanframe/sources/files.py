@@ -91,9 +91,10 @@ def capture_times(rows: DataFrame, *columns: str, fallback: str | None = None) -
 
 def label_list(spark: SparkSession, path: str, default: Sequence[str] = ()) -> DataFrame:
     """``idx, label``: one label a line; lines whose first character is ``#`` and blank lines are dropped; the default where none is left."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.trim("value").alias("label")).where("label <> ''")
-    found = [r["label"] for r in lines.limit(10_000).collect()]
-    return spark.createDataFrame(list(enumerate(found or default)), "idx int, label string")
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(~F.col("value").startswith("#")).select("at", F.trim("value").alias("label")).where("label <> ''")
+    if lines.isEmpty():
+        return spark.createDataFrame(list(enumerate(default)), "idx int, label string")
+    return lines.select((F.row_number().over(Window.orderBy("at")) - 1).alias("idx"), "label")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import scalars as sc
 from gleanframe.functions import texts, vectors
-from gleanframe.operators import decisions, evaluation, reporting, scoring, selection, sequence, similarity
+from gleanframe.operators import decisions, duplicates, evaluation, judging, reporting, scoring, selection, sequence, similarity
+from gleanframe.operators.duplicates import Rule
 
 T0 = datetime(2021, 3, 1)
 
@@ -154,7 +155,7 @@ def test_greedy_with_budgets(spark):
     rows = [("a1", 0.9, "zebra", unit(1, 0, 0)), ("a2", 0.8, "zebra", unit(1, 0.01, 0)), ("a3", 0.7, "zebra", unit(0, 1, 0)), ("b1", 0.5, "gull", unit(0, 0, 1)), ("b2", 0.4, "cormorant", unit(0, 0.01, 1)), ("c1", -1.2, "shark", unit(1, 1, 1)), ("n", float("nan"), "shark", unit(1, 2, 1)), ("m", None, "shark", None)]
     df = spark.createDataFrame([("d", *r) for r in rows], "day string, id string, score double, bucket string, v array<double>")
     budgets = spark.createDataFrame([("d", "zebra", 2), ("d", "gull", 1), ("d", "cormorant", 1), ("d", "shark", 1)], "day string, bucket string, budget int")
-    got = selection.greedy_select(df, ["day"], "id", "bucket", "score", "v", budgets, dup_sim=0.95, min_score=-0.5).orderBy("place").collect()
+    got = selection.greedy_select(df.withColumnRenamed("v", "whole"), ["day"], "id", "bucket", "score", budgets, Rule(0.95), -0.5).orderBy("place").collect()
     assert [r["id"] for r in got] == ["a1", "a3", "b1"]
 
 
@@ -170,7 +171,7 @@ def test_greedy_rounds_equal_one_walk(spark, window):
         same = lambda p: (p[5] and p[5] == row[5]) or (p[4] and row[4] and np.dot(unit(*p[4]), unit(*row[4])) >= 0.8)
         if sum(p[3] == row[3] for p in picks) < budget[row[3]] and not any(same(p) for p in picks):
             picks.append(row)
-    got = selection.greedy_select(df, ["day"], "id", "bucket", "score", "v", budgets, "digest", 0.8, window=window).orderBy("place").collect()
+    got = selection.greedy_select(df.withColumnRenamed("v", "whole"), ["day"], "id", "bucket", "score", budgets, Rule(0.8), window=window).orderBy("place").collect()
     assert [x["id"] for x in got] == [p[1] for p in picks]
 
 
@@ -191,14 +192,12 @@ def test_tournament_is_the_top(spark):
     assert [r["id"] for r in selection.tournament(df, ["g"], "id", "s", 5).orderBy("place").collect()] == want
 
 
-def frame(n, **cols):
-    base = {"item": [f"i{i:03}" for i in range(n)], "score": np.zeros(n), "scene": np.zeros(n, int), "moment": range(n), "burst": [-1] * n}
-    return pd.DataFrame({**base, **cols})
-
-
 def test_burst_chunks_keep_blocks():
     got = selection.burst_chunks(list(range(30)), [0] * 10 + [1] * 10 + [2] * 10, 16)
     assert sorted(x for b in got for x in b) == list(range(30)) and all(len(b) <= 16 for b in got) and len(got) == 2
+    # what fits nowhere fills the emptiest batch first
+    assert [len(b) for b in selection.burst_chunks(list(range(16)), [0] * 6 + [1] * 5 + [2] * 5, 8)] == [8, 8]
+    assert selection.burst_chunks(list(range(16)), [0] * 6 + [1] * 5 + [2] * 5, 8)[1] == [6, 7, 8, 9, 10, 11, 12, 13]
 
 
 def test_twins_classify_reference_components(spark):
@@ -211,19 +210,73 @@ def test_twins_classify_reference_components(spark):
     bonus = {r["id"]: r["bonus"] for r in similarity.reference_bonus(rows, "id", "v", np.array([[1.0, 0.0]])).collect()}
     assert bonus == {"x": 0.5, "y": 0.0, "z": 0.0}
     picks = spark.createDataFrame([("d", "p", "x", [1.0, 0.0]), ("d", "q", "y", [1.0, 0.01]), ("d", "r", "y", [0.0, 1.0]), ("d", "s", "x", None)], "day string, id string, b string, v array<double>")
-    comp = {r["id"]: r["component"] for r in similarity.pick_components(picks, ["day"], "id", "b", "v").collect()}
+    comp = {r["id"]: r["component"] for r in duplicates.duplicate_components(picks.withColumnRenamed("v", "whole"), ["day"], "id", "b", Rule()).collect()}
     assert comp == {"p": "p", "q": "p", "r": "r", "s": "s"}
-
-
-def test_duplicate_rules(spark):
-    def dup(whole, crop, pixel, reframe=0.98, same=True, d=("x", "y"), base=0.89):
-        c = lambda v: lit(v).cast("double")
-        return one(spark, r=similarity.duplicate_test((lit(d[0]), lit(d[1])), c(whole), c(pixel), c(crop), lit(same), base, 0.9, reframe))["r"]
-
-    for whole, crop, pixel in [(0.9456, 0.9162, 0.6941), (0.9649, 0.9639, 0.1880), (0.9910, 0.9834, 0.8457)]:
-        assert dup(whole, crop, pixel, 0.94) and not dup(whole, crop, pixel, 0)
-    assert [dup(*x) for x in [(0.9456, 0.9162, 0.6941), (0.9649, 0.9639, 0.1880), (0.9910, 0.9834, 0.8457)]] == [False, False, True]
-    assert dup(0.0, None, None, d=("h", "h")) and not dup(0.0, None, None, d=("", "")) and dup(0.95, None, None)
+    r = random.Random(1)
+    many = [("d", f"i{i:02}", r.choice("xyz"), [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)]) for i in range(60)]
+    df = spark.createDataFrame(many, "day string, id string, bucket string, whole array<double>")
+    whole, cut = ({x["id"]: x["component"] for x in duplicates.duplicate_components(df, ["day"], "id", "bucket", Rule(0.97), block=b).collect()} for b in (2000, 7))
+    assert whole == cut and 1 < len(set(whole.values())) < 60
+
+
+def at_cosine(c):
+    return [1.0, 0.0], [c, math.sqrt(1 - c * c)]
+
+
+def test_duplicate_rules():
+    def dup(whole, crop, pixel, reframe=0.98, scenes=(1, 1), d=("x", "y"), base=0.89, clip=None):
+        vectors = {n: at_cosine(c) if c is not None else (None, None) for n, c in (("whole", whole), ("crop", crop), ("pixels", pixel), ("clip", clip))}
+        v = duplicates.Views(pd.DataFrame({"digest": d, "scene": scenes, "bucket": ["b", "b"], **{n: list(x) for n, x in vectors.items()}}))
+        return bool(v.duplicates([0], v, [1], Rule(base, 0.9, reframe))[0, 0])
+
+    triples = [(0.9456, 0.9162, 0.6941), (0.9649, 0.9639, 0.1880), (0.9910, 0.9834, 0.8457)]
+    for t in triples:
+        assert dup(*t, 0.94) and not dup(*t, 0) and not dup(*t, 0.94, scenes=(-1, -1)) and not dup(*t, 0.94, scenes=(1, 2))
+    assert [dup(*t) for t in triples] == [False, False, True]
+    assert dup(0.0, None, None, d=("h", "h")) and not dup(0.0, None, None, d=("", "")) and dup(0.95, None, None) and not dup(0.95, None, 0.1)
+    assert dup(None, None, None, clip=0.95) and not dup(0.1, None, None, clip=0.95)
+
+
+def test_judged_rounds(spark):
+    rows = [("g", i // 24, f"i{i:03}", float((i * 37) % 101), "b", 15) for i in range(60)] + [("h", 0, "x", 1.0, "b", 15)]
+    df = spark.createDataFrame(rows, "g string, batch int, item string, score double, bucket string, k int")
+    best = [i for _, i in sorted((-r[3], r[2]) for r in rows if r[0] == "g")[:15]]
+    won = judging.judged_tournament(df, ["g"], "k").where("place IS NOT NULL AND g = 'g'").orderBy("place").collect()
+    assert [r["item"] for r in won] == best
+    reasons = {r["reason"] for r in judging.judged_tournament(df, ["g"], "k").where("place IS NULL").collect()}
+    assert reasons == {"Not selected by judge", "Not selected in final comparison"}
+
+    def careless(batch, k, final):  # strangers, repeats and too many
+        return ["nobody", *batch["item"], *batch["item"]]
+
+    out = judging.judged_round(df, ["g"], "k", careless, False).where("place IS NOT NULL").groupBy("g", "batch").count().collect()
+    assert {(r["g"], r["batch"]): r["count"] for r in out} == {("g", 0): 15, ("g", 1): 15, ("g", 2): 12, ("h", 0): 1}
+
+    def fails_on_h(batch, k, final):
+        if batch["item"].iloc[0] == "x":
+            raise OSError("no answer")
+        return judging.by_score(batch, k, final)
+
+    assert judging.judged_round(df, ["g"], "k", fails_on_h, False).where("item = 'x'").first()["reason"] == judging.FAILED
+    with pytest.raises(RuntimeError):
+        judging.judged_round(df, ["g"], "k", lambda b, k, f: 1 / 0, False).count()
+
+
+def test_reconciled_days(spark):
+    rows = [("d", "p/a", "x", 1.0, "h", [1.0, 0.0]), ("d", "p/b", "y", 2.0, "h", [1.0, 0.0]), ("d", "p/c", "x", 1.0, "", [0.99, 0.1]), ("d", "p/d", "x", 0.5, None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "day string, id string, bucket string, score double, digest string, whole array<double>")
+    keep_one = lambda batch, k, final: judging.by_score(batch, 1, final)
+    got = {r["id"]: (r["kept"], r["reason"]) for r in judging.reconcile(df, ["day"], "id", "bucket", Rule(), keep_one).collect()}
+    assert got == {"p/a": (False, "= identical copy of b"), "p/b": (True, ""), "p/c": (False, "Not selected in final comparison"), "p/d": (True, "")}
+
+
+def test_checked_roll(spark):
+    rows = [("portrait", True, "Lion", "m1", False, ""), ("ordinary", True, "lion", "m2", False, ""), ("vague", True, "lion", "m3", True, ""), ("same", True, "lion", "M1", True, "rare"), ("action", True, " lion", "hunt", True, "rare"),
+            ("third", True, "lion", "m5", True, "rare"), ("bird", True, "eagle", "dive", False, ""), ("human", False, "people", "smile", False, ""), ("empty", True, "", "x", False, ""), ("blank", True, "owl", " ", False, "")]
+    df = spark.createDataFrame([("r", i, *r) for i, r in enumerate(rows)], "g string, o int, id string, fits boolean, kind string, detail string, special boolean, why string")
+    run = lambda limit, curate=True: judging.checked_picks(df, ["g"], "o", "id", F.col("fits"), "kind", "detail", F.col("special"), "why", limit, curate).collect()
+    assert [r["id"] for r in run(9) if r["kept"]] == ["portrait", "action", "bird"] and [r["id"] for r in run(1) if r["kept"]] == ["portrait"]
+    assert {r["id"]: r["reason"] for r in run(1)}["bird"] == "collection budget filled" and sum(r["kept"] for r in run(9, False)) == 7
 
 
 # ---- decisions and evaluation ----------------------------------------------------------------------------------------------------------
