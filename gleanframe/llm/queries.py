@@ -218,7 +218,15 @@ def _looks(spark, sf):
     return clusters.alike_clusters(table(spark, sf, "photos").select("photo_id", "dino"), "photo_id", "dino")
 
 
-@LLM.add("p7_found")
+_P7 = """
+WITH d AS (SELECT DISTINCT photo_id, dino FROM photos WHERE photo_id IS NOT NULL AND len(dino) = 64 AND len(list_filter(dino, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dino, lambda x: x <> 0)) > 0),
+v AS (SELECT photo_id, CAST(list_transform(dino, lambda x: CAST(x AS DOUBLE)) AS DOUBLE[64]) AS v FROM d),
+n AS (SELECT a.photo_id, list_sort(list(b.photo_id)) AS near FROM v a JOIN v b ON array_cosine_similarity(a.v, b.v) >= 0.9 GROUP BY 1),
+g AS (SELECT near FROM n GROUP BY 1 HAVING count(*) = len(near) AND count(*) >= 2)
+"""
+
+
+@LLM.add("p7_found", _P7 + "SELECT photo_id, near[1] AS cluster_id FROM n JOIN g USING (near)")
 def p7_found(spark, sf):
     return _looks(spark, sf).where("alike AND size >= 2").select("photo_id", "cluster_id").distinct()
 
@@ -228,6 +236,14 @@ def p7_typical(spark, sf):
     return clusters.typical(_looks(spark, sf), "photo_id")
 
 
+@LLM.add("p7_groups")
+def p7_groups(spark, sf):
+    """k-means groups of looks in which a common scene and moment count too, with their most typical photos."""
+    rows = table(spark, sf, "photos").select("photo_id", "dino", F.concat_ws("#", "shoot", "scene").alias("scene"), F.concat_ws("#", "shoot", "scene", "moment").alias("moment"))
+    k = max(16, int(rows.count() ** 0.5))
+    return clusters.kmeans_groups(rows, "photo_id", "dino", {"scene": 0.35, "moment": 0.25}, k)
+
+
 # ---- 5: choosing a varied subset --------------------------------------------------------------------------------------------------------
 
 
