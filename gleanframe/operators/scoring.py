@@ -94,3 +94,10 @@ def robust_quality(rows: DataFrame, keys: Sequence[str], value: str, out: str =
     r = with_median(r, keys, "rq_dev", "rq_mad")
     x = clip((F.col(value) - F.col("rq_med")) / F.greatest(1.4826 * F.col("rq_mad"), F.lit(1.0)), -30.0, 30.0)
     return r.withColumn(out, 1 / (1 + F.exp(-x))).drop("rq_med", "rq_dev", "rq_mad")
+
+
+def person_override(label: Column, prob: Column, person: Column, area: float = 0.02, agree: float = 0.2, trust: float = 0.5, people: str = "people") -> tuple[Column, Column]:
+    """Label and probability with a person of at least ``area`` taken for the subject: where the label is at least ``agree`` probable or unknown,
+    or the person fills ``trust`` of the frame."""
+    hit = (F.coalesce(person, F.lit(0.0)) >= area) & (prob.isNull() | F.lit(agree <= 0) | (prob >= agree) | (person >= trust))
+    return F.when(hit, people).otherwise(label), F.when(hit, F.greatest(prob, person)).otherwise(prob)

@@ -9,6 +9,7 @@ from gleanframe.functions import scalars as sc
 from gleanframe.functions import texts, vectors
 from gleanframe.operators import scoring, sequence, similarity
 from gleanframe.plans.registry import Registry, table
+from gleanframe.session import materialize
 
 SCORING = Registry()
 
@@ -160,9 +161,9 @@ def pick_budget(spark, sf):
 SELECT photo_id, CASE WHEN hit THEN 'people' ELSE label END AS label, CASE WHEN hit THEN greatest(label_prob, person) ELSE label_prob END AS prob FROM o""",
 )
 def person_override(spark, sf):
-    hit = (F.coalesce("person", F.lit(0.0)) >= 0.02) & (F.col("label_prob").isNull() | (F.col("label_prob") >= 0.2) | (F.col("person") >= 0.5))
     rows = photos(spark, sf, "label", "label_prob", "person")
-    return rows.select("photo_id", F.when(hit, "people").otherwise(F.col("label")).alias("label"), F.when(hit, F.greatest("label_prob", "person")).otherwise(F.col("label_prob")).alias("prob"))
+    label, prob = scoring.person_override(F.col("label"), F.col("label_prob"), F.col("person"))
+    return rows.select("photo_id", label.alias("label"), prob.alias("prob"))
 
 
 @SCORING.add(
@@ -282,6 +283,37 @@ def scene_centroid_fold(spark, sf):
     return sequence.cluster_scenes(rows, "camera", "time", "v", ["photo_id"], 120.0, 0.5).select("photo_id", "camera", "scene_id")
 
 
+_BY_DAY = _ORDERED.replace("PARTITION BY camera", "PARTITION BY day").replace(" WHERE camera IS NOT NULL", "").replace("photo_id) AS rn", "path, photo_id) AS rn")
+
+
+@SCORING.add(
+    "labelled_scenes",
+    "WITH RECURSIVE " + U[5:-1] + _UNIT.replace("SELECT photo_id, shoot,", "SELECT photo_id, shoot, path, person, strftime(coalesce(time, TIMESTAMP '1900-01-01'), '%Y-%m-%d') AS day,") + _PROTO + _BY_DAY
+    + """, f(day, rn, photo_id, sid, last_t, c) AS (SELECT day, rn, photo_id, 0, t, v FROM o WHERE rn = 1 UNION ALL """
+    + _fold_sql(f"coalesce(o.t - f.last_t > 120, false) OR coalesce({_DOT} < 0.5, false)", "coalesce(o.t, f.last_t)").replace("o.camera", "o.day")
+    + """ FROM f JOIN o ON o.day = f.day AND o.rn = f.rn + 1),
+dn AS (SELECT replace(day, '1900-01-01', 'unknown-date') AS dk, day, max(sid) + 1 AS n FROM f GROUP BY 1, 2), off AS (SELECT day, coalesce(sum(n) OVER (ORDER BY dk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM dn),
+sc AS (SELECT f.photo_id, CAST(f.sid + off.b AS INT) AS scene_id FROM f JOIN off USING (day)),
+sv AS (SELECT scene_id, unnest(d.v) AS x, generate_subscripts(d.v, 1) AS i FROM sc JOIN d USING (photo_id) WHERE d.v IS NOT NULL), sa AS (SELECT scene_id, i, avg(x) AS x FROM sv GROUP BY 1, 2),
+sm0 AS (SELECT scene_id, list(x ORDER BY i) AS m FROM sa GROUP BY 1), sm AS (SELECT scene_id, list_transform(m, lambda x: x / (sqrt(list_sum(list_transform(m, lambda y: y * y))) + 1e-9)) AS v FROM sm0),
+l AS (SELECT s.idx, s.label, m FROM subject_labels s JOIN proto USING (label)), cc AS (SELECT scene_id, idx, label, """ + _ip("v", "m") + """ AS s FROM sm, l),
+w AS (SELECT *, exp(100 * (s - max(s) OVER (PARTITION BY scene_id))) AS w FROM cc), best AS (SELECT scene_id, arg_max(label, {'s': s, 'i': -idx}) AS label, arg_max(w, {'s': s, 'i': -idx}) / sum(w) AS prob FROM w GROUP BY 1),
+j AS (SELECT sc.photo_id, sc.scene_id, best.label, best.prob, d.person FROM sc JOIN d USING (photo_id) LEFT JOIN best USING (scene_id)),
+h AS (SELECT *, coalesce(person, 0) >= 0.02 AND (prob IS NULL OR prob >= 0.2 OR person >= 0.5) AS hit FROM j)
+SELECT photo_id, scene_id, CASE WHEN hit THEN 'people' ELSE label END AS label, round(CASE WHEN hit THEN greatest(prob, person) ELSE prob END, 4) AS prob FROM h""",
+)
+def labelled_scenes(spark, sf):
+    """Scenes of each day in order of time and name, numbered through all days, with one label each by the mean of their vectors; photos in
+    which a person stands out are labelled by that, whatever their scene."""
+    rows = _unit_photos(spark, sf, "time", "day", "path", "person")
+    cut = materialize(sequence.global_ids(sequence.cluster_scenes(rows, "day", "time", "v", ["path", "photo_id"], 120.0, 0.5), "day", "scene_id"), "scenes")
+    labels = table(spark, sf, "subject_labels").join(_prototypes(spark, sf), "label")
+    means = vectors.mean_vector(cut.select("scene_id", "v"), ["scene_id"], "v", 64)
+    told = similarity.classify(means, "scene_id", "mean", labels, "mean").select("scene_id", "label", "label_prob")
+    label, prob = scoring.person_override(F.col("label"), F.col("label_prob"), F.col("person"))
+    return cut.join(told, "scene_id", "left").select("photo_id", "scene_id", label.alias("label"), F.round(prob, 4).alias("prob"))
+
+
 @SCORING.add(
     "moment_fold",
     "WITH RECURSIVE " + U[5:-1] + _UNIT + _ORDERED + """, f(camera, rn, photo_id, sid, last_t, c, sc) AS (SELECT camera, rn, photo_id, 0, t, v, scene FROM o WHERE rn = 1 UNION ALL """
