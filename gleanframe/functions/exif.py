@@ -74,3 +74,54 @@ def read_exif(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": b.path, "taken": text(ORIGINAL), "changed": text(DATE), "iso": number(ISO), "orientation": number(ORIENTATION)})
 
     return files.select("path", "content").mapInPandas(run, "path string, taken string, changed string, iso long, orientation long")
+
+
+# Tags of the size and the turn of the picture.
+WIDTH, HEIGHT, PIXEL_X, PIXEL_Y = 0x0100, 0x0101, 0xA002, 0xA003
+
+
+class _Directory:
+    """The entries of one directory of a TIFF block and where it starts and ends."""
+
+    def __init__(self, block: bytes, order: str, at: int) -> None:
+        if at < 8 or at + 2 > len(block):
+            raise ValueError("a directory lies outside its block")
+        self.start, n = at, struct.unpack_from(order + "H", block, at)[0]
+        self.next = at + 2 + 12 * n
+        if self.next + 4 > len(block):
+            raise ValueError("a directory is cut off")
+        self.entries = {}
+        for p in range(at + 2, self.next, 12):
+            tag, kind, count = struct.unpack_from(order + "HHI", block, p)
+            self.entries.setdefault(tag, []).append((p, kind, count))
+
+
+def resized(exif: bytes, width: int, height: int) -> bytes:
+    """An Exif segment made true for a turned picture of the given size: size and turn are written where their tags are, and the thumbnail,
+    which shows the picture before, is unlinked. No byte moves, so all offsets stay valid; a layout in which that is not sure is an error."""
+    if exif[:6] != b"Exif\0\0" or len(exif) < 14 or exif[6:8] not in (b"II", b"MM"):
+        raise ValueError("no Exif segment")
+    block, order = bytearray(exif[6:]), "<" if exif[6:8] == b"II" else ">"
+    magic, first = struct.unpack_from(order + "HI", block, 2)
+    if magic != 42:
+        raise ValueError("no classic TIFF block")
+    main = _Directory(block, order, first)
+    changes = [(main, {ORIENTATION: 1, WIDTH: width, HEIGHT: height})]
+    links = main.entries.get(EXIF_IFD, [])
+    if len(links) > 1 or any(kind not in (4, 13) or count != 1 for _, kind, count in links):
+        raise ValueError("no single link to the Exif directory")
+    at = struct.unpack_from(order + "I", block, links[0][0] + 8)[0] if links else 0
+    if at:
+        child = _Directory(block, order, at)
+        if child.start < main.next + 4 and main.start < child.next + 4:
+            raise ValueError("directories overlap")
+        changes.append((child, {PIXEL_X: width, PIXEL_Y: height}))
+    for where, values in changes:
+        for tag, value in values.items():
+            for p, kind, count in where.entries.get(tag, []):
+                form = {3: "H", 4: "I"}.get(kind)
+                if form is None or count != 1 or not 0 <= value < 256 ** struct.calcsize(order + form):
+                    raise ValueError(f"tag {tag:#06x} cannot hold {value}")
+                struct.pack_into(order + form, block, p + 8, value)
+    struct.pack_into(order + "I", block, main.next, 0)
+    return exif[:6] + bytes(block)

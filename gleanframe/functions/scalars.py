@@ -150,3 +150,30 @@ def first_matching(rules: Sequence[tuple[str, Column]], otherwise: str = "genera
     for name, condition in reversed(rules):
         out = F.when(condition, name).otherwise(out)
     return out
+
+
+def detected(boxes: Column, width: Column, height: Column, person: str = "person", sure: float = 0.5, margin: float = 3.0) -> Column:
+    """What a detector's boxes (``kind, confidence, x1, y1, x2, y2`` in pixels) say of a frame: ``person`` (share of the frame of the largest
+    person of at least ``sure``), ``subject`` (of the largest box of any kind), ``edge`` (that box comes within ``margin`` pixels of the
+    border), ``box`` (it, in shares of the frame) and ``boxes`` (:func:`best_boxes`). No boxes give zeros, false and NULL."""
+    share = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) / (width * height)
+    scaled = lambda b: F.struct((b["x1"] / width).alias("x1"), (b["y1"] / height).alias("y1"), (b["x2"] / width).alias("x2"), (b["y2"] / height).alias("y2"))
+    people = F.array_max(F.transform(F.filter(boxes, lambda b: (b["kind"] == person) & (b["confidence"] >= sure)), share))
+    # the largest, of equal ones the first
+    ranked = F.transform(boxes, lambda b, i: F.struct(share(b).alias("share"), (-i).alias("at"), b.alias("b")))
+    top = F.array_max(F.transform(ranked, lambda r: F.struct(r["share"], r["at"])))
+    first = F.get(boxes, -top["at"])
+    some = F.coalesce(top["share"] > 0, F.lit(False))
+    edge = (first["x1"] < margin) | (first["y1"] < margin) | (first["x2"] > width - margin) | (first["y2"] > height - margin)
+    return F.struct(
+        F.coalesce(people, F.lit(0.0)).alias("person"), F.when(some, top["share"]).otherwise(0.0).alias("subject"), F.coalesce(some & edge, F.lit(False)).alias("edge"),
+        F.when(some, scaled(first)).alias("box"), best_boxes(F.transform(boxes, scaled)).alias("boxes"),
+    )
+
+
+def exposure_label(shortlisted: Column) -> Column:
+    return F.when(shortlisted == "1", "Seen by judge").when(shortlisted == "0", "Not shown to judge").otherwise("Judge exposure unknown")
+
+
+def badge(manual: Column, selected: Column) -> Column:
+    return F.when(F.coalesce(manual, F.lit("")) != "", F.concat(F.lit("Manual "), manual)).when(F.coalesce(selected, F.lit(False)), "Suggested pick").otherwise("Alternative")

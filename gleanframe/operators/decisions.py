@@ -99,3 +99,24 @@ def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
     """Distinct keys, each by its first row in a stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("fe", F.row_number().over(w)).where("fe = 1").drop("fe")
+
+
+def exported(rows: DataFrame, state: DataFrame, revision: Column) -> DataFrame:
+    """A report with the decisions written into it: ``item_id, relative, auto_selected, auto_decision`` as rows give them, ``selected`` as it
+    stands, the manual columns, ``decision`` (the manual text, else the automatic one, also where an override was cleared), and the revision."""
+    told = overlay(rows, state)
+    decision = F.when(F.col("manual_decision") != "", F.col("manual_reason")).otherwise(F.coalesce("auto_decision", F.lit("")))
+    return told.select(*[col(c) for c in rows.columns], "selected", "manual_decision", "manual_reason", decision.alias("decision"), F.col("status").alias("review_status"), revision.cast("long").alias("review_revision"))
+
+
+def verified(state: DataFrame, files: DataFrame) -> DataFrame:
+    """Decisions ``item_id, relative, digest`` against files ``relative, digest``: ``item_id, state`` of ``available``, ``changed`` or ``missing``."""
+    f = files.select(F.col("relative").alias("v_rel"), F.col("digest").alias("v_digest")).dropDuplicates(["v_rel"])
+    j = state.join(f, F.col("relative") == F.col("v_rel"), "left")
+    return j.select("item_id", F.when(F.col("v_rel").isNull(), "missing").when(F.col("digest") != F.col("v_digest"), "changed").otherwise("available").alias("state"))
+
+
+def attached(rows: DataFrame, path: str, twins: DataFrame) -> DataFrame:
+    """The rows with ``source``: the processed twin (``path, twin``) where there is one, else the file itself."""
+    t = twins.groupBy(F.col("path").alias("at_path")).agg(F.min("twin").alias("twin"))
+    return rows.join(t, col(path) == F.col("at_path"), "left").withColumn("source", F.coalesce("twin", col(path))).drop("at_path", "twin")

@@ -250,3 +250,121 @@ def parsed_replies(spark, sf):
     picks = F.transform(F.sequence(F.lit(0), F.size("ids") + 1), lambda i: F.concat(F.lit('{"photo": '), i.cast("string"), F.lit(', "reason": "clear \\"eye\\""}')))
     reply = F.concat(F.lit('Here is my answer:\n{"picks": ['), F.array_join(picks, ", "), F.lit(', 1, "x"]}\nThanks.'))
     return groups.select("shoot", "scene", "chunk", F.posexplode(texts.ranked_picks(reply, F.col("ids"))).alias("place", "id"))
+
+
+# ---- a run against what was declared: columns of the photos stand for the states of files and judgments ------------------------------------
+
+_STATES = SEL + """, st AS (SELECT s.shoot, s.id, CASE WHEN s.time IS NULL THEN 'missing' WHEN s.label IS NULL THEN 'unverified' WHEN s.clip_high > 0.3 THEN 'changed' ELSE 'available' END AS source,
+  CASE WHEN s.iso IS NULL THEN NULL WHEN s.iso >= 6400 THEN 'incomplete' ELSE 'complete' END AS judgment, s.reject <> 'blurry' AS here, CASE WHEN s.aesthetic IS NULL THEN '' WHEN s.place <= 2 * h.keepers THEN '1' ELSE '0' END AS shortlisted,
+  s.place <= h.keepers AS auto, coalesce(s.person, 0) >= 0.5 AS inc, CASE WHEN s.iso IS NULL AND s.edge THEN true ELSE false END AS broke FROM sel s JOIN shoots h USING (shoot)),
+rec AS (SELECT shoot, bool_or(shortlisted = '1') AS recorded FROM st WHERE here GROUP BY 1),
+e AS (SELECT st.*, CASE WHEN NOT here THEN 'unevaluated' WHEN judgment IS NULL AND broke THEN 'failed' ELSE judgment END AS status, coalesce(recorded, false) AS recorded FROM st LEFT JOIN rec USING (shoot)),
+v AS (SELECT *, CASE WHEN NOT here OR shortlisted = '' OR NOT recorded OR source IN ('missing', 'changed') OR status = 'unevaluated' THEN NULL ELSE shortlisted = '1' END AS was_shown,
+  CASE WHEN NOT here OR inc OR source IN ('missing', 'changed') OR status IN ('unevaluated', 'incomplete', 'failed') THEN NULL ELSE auto END AS was_picked FROM e)
+""".replace("FROM sel s JOIN shoots h USING (shoot)),", "FROM more s JOIN shoots h USING (shoot)),")
+_STATES = _STATES.replace(", v AS (SELECT DISTINCT seq", ", vv AS (SELECT DISTINCT seq").replace("FROM v WHERE", "FROM vv WHERE")
+_STATES = _STATES.replace(", st AS (SELECT s.shoot", ", more AS (SELECT sel.*, q.time, q.clip_high, q.iso, q.person, q.edge FROM sel JOIN (SELECT DISTINCT ON (photo_id) path, time, clip_high, iso, person, edge FROM photos ORDER BY photo_id) q ON q.path = sel.id), st AS (SELECT s.shoot", 1)
+
+
+def _states(spark, sf):
+    more = table(spark, sf, "photos").select("photo_id", F.col("time").alias("at"), "clip_high", "iso", "person", "edge").dropDuplicates(["photo_id"])
+    s = selections(spark, sf).join(more, "photo_id")
+    source = F.when(F.col("at").isNull(), "missing").when(F.col("label").isNull(), "unverified").when(F.col("clip_high") > 0.3, "changed").otherwise("available")
+    judgment = F.when(F.col("iso") >= 6400, "incomplete").when(F.col("iso").isNotNull(), "complete")
+    declared = s.select("shoot", "id", source.alias("source"), judgment.alias("judgment"))
+    inside = lambda n: F.coalesce(F.col("place") <= n * F.col("keepers"), F.lit(False))
+    forced = F.coalesce("person", F.lit(0.0)) >= 0.5
+    reason = F.when(forced, "forced by --include").when(F.col("iso").isNull() & F.col("edge"), "(judge failed, by score)").otherwise("")
+    rows = s.where("reject <> 'blurry'").select(
+        "shoot", "id", F.when(F.col("aesthetic").isNull(), "").when(inside(2), "1").otherwise("0").alias("shortlisted"), reporting.flag(inside(1)).alias("selected"), reporting.flag(inside(1)).alias("auto_selected"),
+        reason.alias("judge_reason"), F.when(forced, "Forced by --include").otherwise("").alias("auto_decision"), "reject",
+    )
+    return evaluation.judged_states(declared, rows, ["shoot"])
+
+
+@REVIEW.add(
+    "evaluation_coverage",
+    _STATES + """SELECT shoot, count(*) AS eligible, count(*) FILTER (here) AS report_rows, count(*) FILTER (source = 'missing') AS missing_files, count(*) FILTER (source = 'changed') AS changed_files,
+count(*) FILTER (source = 'unverified') AS files_unverified, count(*) FILTER (status = 'unevaluated') AS unevaluated, count(*) FILTER (status = 'incomplete') AS incomplete_judgments, count(*) FILTER (status = 'failed') AS failed_judgments,
+count(*) FILTER (status IS NULL) AS unknown_judgments, count(*) FILTER (was_shown IS NULL) AS shortlist_unknown, count(*) FILTER (NOT was_shown) AS not_shortlisted, count(*) FILTER (inc AND here) AS human_forced,
+count(*) FILTER (was_shown) AS candidates, count(*) FILTER (was_picked) AS picks FROM v GROUP BY 1""",
+)
+def evaluation_coverage(spark, sf):
+    """The coverage counters of every shoot."""
+    return evaluation.coverage(_states(spark, sf), ["shoot"])
+
+
+@REVIEW.add(
+    "evaluation_compare",
+    SEL + """, a AS (SELECT s.shoot, s.id, place <= h.keepers AS narrow, place <= 2 * h.keepers AS wide, reject = 'exposure' AS open FROM sel s JOIN shoots h USING (shoot))
+SELECT shoot, CASE WHEN count(*) FILTER (open) = 0 THEN count(*) FILTER (wide) / count(*) - count(*) FILTER (narrow) / count(*) END AS recall_delta, true AS verified FROM a GROUP BY 1""",
+)
+def evaluation_compare(spark, sf):
+    """A wider selection against a narrower one over the same photos."""
+    rows = selections(spark, sf)
+    pick = lambda n: F.when(F.col("reject") == "exposure", None).otherwise(F.coalesce(F.col("place") <= n * F.col("keepers"), F.lit(False)))
+    run = lambda n: rows.select("shoot", "id", pick(n).alias("picked"), F.sha2("id", 256).alias("digest"))
+    return evaluation.comparison(run(1), run(2), ["shoot"], "id", "picked", "digest")
+
+
+@REVIEW.add("feedback_export", "WITH " + V + "SELECT id AS item_id, CASE choice WHEN 'keep' THEN 'favourite' ELSE 'rejected' END AS kind FROM state")
+def feedback_export(spark, sf):
+    return evaluation.feedback(decisions.decisions_at(log(spark, sf)))
+
+
+@REVIEW.add(
+    "overlay_export",
+    SEL + """, top AS (SELECT max(revision) AS r FROM state) SELECT s.id AS item_id, picked AS auto_selected, coalesce(CASE choice WHEN 'keep' THEN true WHEN 'reject' THEN false END, picked) AS selected, coalesce(choice, '') AS manual_decision,
+CASE WHEN choice IS NOT NULL THEN 'Manual ' || choice || CASE WHEN note <> '' THEN ': ' || note ELSE '' END WHEN picked THEN 'Selected by score' ELSE '' END AS decision, CASE WHEN choice IS NOT NULL THEN 'applied' ELSE '' END AS review_status, top.r AS review_revision
+FROM sel s LEFT JOIN state t ON s.id = t.id CROSS JOIN top""",
+)
+def overlay_export(spark, sf):
+    state = decisions.decisions_at(log(spark, sf))
+    top = state.agg(F.max("revision")).first()[0] or 0
+    rows = selections(spark, sf).select(F.col("id").alias("item_id"), F.col("id").alias("relative"), F.col("picked").alias("auto_selected"), F.when(F.col("picked"), "Selected by score").otherwise("").alias("auto_decision"))
+    return decisions.exported(rows, state, F.lit(top)).select("item_id", "auto_selected", "selected", "manual_decision", "decision", "review_status", "review_revision")
+
+
+_REPORT_SQL = {
+    "file": "s.id", "datetime": "coalesce(strftime(q.time, '%Y-%m-%dT%H:%M:%S'), '')", "day": "s.day", "label": "coalesce(s.label, '')", "label_prob": "q.label_prob:2", "person": "q.person:3", "subject": "q.subject:3",
+    "edge": "CASE WHEN q.edge THEN '1' ELSE '0' END", "scene": "coalesce(CAST(s.scene AS VARCHAR), '')", "sharpness": "q.sharpness:1", "clip_low": "q.clip_low:3", "clip_high": "q.clip_high:3", "aesthetic": "s.aesthetic:2",
+    "reject": "coalesce(s.reject, '')", "selected": "CASE WHEN picked THEN '1' ELSE '0' END", "iso": "coalesce(CAST(q.iso AS VARCHAR), '')", "subject_sharpness": "q.subject_sharpness:2", "composition_bonus": "q.composition_bonus:4",
+    "moment": "coalesce(CAST(s.moment AS VARCHAR), '')", "photo_id": "CAST(q.photo_id AS VARCHAR)",
+}
+
+
+def _report_sql() -> str:
+    out = []
+    for name, _ in reporting.FORMS:
+        e = _REPORT_SQL.get(name, "''")
+        if ":" in e and e.rsplit(":", 1)[1].isdigit():
+            c, d = e.rsplit(":", 1)
+            e = f"CASE WHEN {c} IS NULL THEN '' ELSE printf('%.{d}f', {c}) END"
+        out.append(f"{e} AS {name}")
+    return SEL + "SELECT " + ", ".join(out) + " FROM sel s JOIN (SELECT DISTINCT ON (photo_id) * FROM photos ORDER BY photo_id) q ON q.path = s.id"
+
+
+@REVIEW.add("report_whole", _report_sql())
+def report_whole(spark, sf):
+    """The whole report of every photo, with all its columns."""
+    more = table(spark, sf, "photos").select("photo_id", F.col("time").alias("datetime"), "label_prob", "person", "subject", "edge", "sharpness", "clip_low", "clip_high", "iso", "subject_sharpness", "composition_bonus").dropDuplicates(["photo_id"])
+    rows = selections(spark, sf).join(more, "photo_id").withColumn("file", F.col("id")).withColumn("selected", F.col("picked"))
+    return reporting.whole_report(rows, [F.col("day"), F.col("label"), F.col("file")])
+
+
+@REVIEW.add(
+    "sidecar_keywords",
+    SEL + """SELECT id, array_to_string(list_filter(['Glean', 'Glean|' || coalesce(label, ''), CASE WHEN picked THEN 'Glean|Pick' END, CASE WHEN picked AND coalesce(reject, '') <> '' THEN 'Glean|Preset|' || reject END], lambda x: x IS NOT NULL), ';') AS words,
+CASE WHEN coalesce(picked, false) THEN 'Suggested pick' ELSE 'Alternative' END AS badge FROM sel""",
+)
+def sidecar_keywords(spark, sf):
+    from gleanframe.functions import scalars
+
+    words = reporting.keywords("Glean", F.col("label"), F.col("picked"), F.col("reject"), F.lit(None).cast("string"))
+    return selections(spark, sf).select("id", F.array_join(words, ";").alias("words"), scalars.badge(F.lit(""), F.col("picked")).alias("badge"))
+
+
+@REVIEW.add("label_counts", SEL + "SELECT coalesce(label, '') AS label, count(*) AS picks FROM sel WHERE picked GROUP BY 1")
+def label_counts(spark, sf):
+    """How many picks every label has, the most first."""
+    return selections(spark, sf).where("picked").groupBy(F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("picks")).orderBy(F.desc("picks"), "label")

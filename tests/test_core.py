@@ -395,3 +395,38 @@ def test_stream_scenes_keep_their_centroid(spark, tmp_path):
     finally:
         q.stop()
     assert got == {1: (0, False), 2: (0, False), 3: (0, False), 4: (1, False), 9: (0, False), 5: (1, True), 6: (2, False)}
+
+
+def test_detections(spark):
+    ddl = "id int, b array<struct<kind:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
+    rows = [(1, [("person", 0.9, 10.0, 10.0, 30.0, 60.0), ("bird", 0.4, 0.0, 20.0, 50.0, 80.0), ("person", 0.3, 5.0, 5.0, 95.0, 95.0)]), (2, []), (3, None)]
+    got = {r["id"]: r["d"] for r in spark.createDataFrame(rows, ddl).select("id", sc.detected(F.col("b"), lit(100.0), lit(100.0)).alias("d")).collect()}
+    assert (got[1]["person"], got[1]["subject"], got[1]["edge"], len(got[1]["boxes"])) == (0.1, 0.81, False, 3)
+    assert (got[2]["person"], got[2]["subject"], got[2]["edge"], got[2]["box"]) == (0.0, 0.0, False, None) and got[3]["subject"] == 0.0
+
+
+def test_a_run_against_what_was_declared(spark):
+    declared = spark.createDataFrame([("s", "a", "a.jpg"), ("s", "b", "b.jpg")], "shoot string, id string, file string")
+    report = spark.createDataFrame([("s", "a", "x"), ("s", None, "b.jpg")], "shoot string, photo_id string, file string")
+    assert {(r["id"], r["file"]) for r in evaluation.match_declared(report, declared, ["shoot"]).collect()} == {("a", "x"), ("b", "b.jpg")}
+    for bad in ([("s", "z", "z.jpg")], [("s", "a", "x"), ("s", None, "a.jpg")]):
+        with pytest.raises(ValueError):
+            evaluation.match_declared(spark.createDataFrame(bad, report.schema), declared, ["shoot"])
+    run = lambda rows: spark.createDataFrame(rows, "shoot string, id string, picked boolean, digest string")
+    a, b = run([("s", "a", True, "h"), ("s", "b", False, "")]), run([("s", "a", True, "h"), ("s", "b", True, "k")])
+    assert tuple(evaluation.comparison(a, b, ["shoot"], "id", "picked", "digest").first()) == ("s", 0.5, False)
+    for other in (run([("s", "a", True, "h")]), run([("s", "a", True, "x"), ("s", "b", True, "k")])):
+        with pytest.raises(ValueError):
+            evaluation.comparison(a, other, ["shoot"], "id", "picked", "digest")
+    used = evaluation.usage_totals(spark.createDataFrame([("d", 5, None), ("d", None, None)], "split string, requests int, tokens int"), ["split"], ["requests", "tokens"]).first()
+    assert (used["requests"], used["requests_measured"], used["tokens"], used["tokens_measured"]) == (5, 1, None, 0)
+    state = spark.createDataFrame([("i", "keep", "u"), ("j", "reject", "csv import"), ("k", "reject", None)], "item_id string, choice string, origin string")
+    assert {tuple(r) for r in evaluation.feedback(state).collect()} == {("i", "favourite"), ("k", "rejected")} and evaluation.feedback(state, True).count() == 3
+
+
+def test_verified_and_attached(spark):
+    state = spark.createDataFrame([("1", "a", "h"), ("2", "b", "h"), ("3", "c", "h")], "item_id string, relative string, digest string")
+    found = spark.createDataFrame([("a", "h"), ("b", "x")], "relative string, digest string")
+    assert {tuple(r) for r in decisions.verified(state, found).collect()} == {("1", "available"), ("2", "changed"), ("3", "missing")}
+    rows = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert {tuple(r) for r in decisions.attached(rows, "path", spark.createDataFrame([("a", "a.dng")], "path string, twin string")).collect()} == {("a", "a.dng"), ("b", "b")}

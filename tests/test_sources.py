@@ -125,3 +125,43 @@ def test_measures_over_the_image_source(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"nothing")
     got = {r["path"].rsplit("/", 1)[1]: r for r in images.measure(spark.read.format("image").load(str(tmp_path))).collect()}
     assert got["red.png"]["warmth"] == 200 and got["red.png"]["readable"] and not got["bad.png"]["readable"]
+
+
+def test_exif_of_a_turned_picture():
+    import struct
+
+    from gleanframe.functions import exif
+
+    for order, mark in (("<", b"II"), (">", b"MM")):
+        entry = lambda tag, kind, value: struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))  # noqa: E731, B023
+        main = [entry(0x0100, 4, 400), entry(0x0101, 3, 300), entry(0x0112, 3, 6), entry(0x8769, 4, 8 + 2 + 4 * 12 + 4)]
+        child = [entry(0xA002, 4, 400), entry(0xA003, 4, 300), entry(0x8827, 3, 200)]
+        block = mark + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", 4) + b"".join(main) + struct.pack(order + "I", 77)
+        block += struct.pack(order + "H", 3) + b"".join(child) + struct.pack(order + "I", 0) + b"tail"
+        out = exif.resized(b"Exif\0\0" + block, 300, 400)
+        got = exif.tags(out[6:])
+        assert (got[0x0100], got[0x0101], got[0x0112], got[0xA002], got[0xA003], got[0x8827]) == (300, 400, 1, 300, 400, 200)
+        assert len(out) == len(block) + 6 and out.endswith(b"tail") and struct.unpack_from(order + "I", out, 6 + 8 + 2 + 48)[0] == 0
+        for bad in (b"Exif\0\0" + block[:20], b"none", b"Exif\0\0" + block.replace(struct.pack(order + "H", 42), struct.pack(order + "H", 43), 1)):
+            with pytest.raises(ValueError):
+                exif.resized(bad, 300, 400)
+        with pytest.raises(ValueError):
+            exif.resized(b"Exif\0\0" + block, 300, 70_000)
+
+
+def test_labels_of_any_number(spark, tmp_path):
+    p = tmp_path / "labels.txt"
+    p.write_text("# first\n" + "".join(f"label {i}\n\n" for i in range(12_000)))
+    rows = files.label_list(spark, str(p)).orderBy("idx").collect()
+    assert len(rows) == 12_000 and rows[11_999]["label"] == "label 11999" and rows[0]["idx"] == 0
+
+
+def test_sidecars_are_written_once(spark, tmp_path):
+    from gleanframe.operators import reporting
+
+    df = spark.createDataFrame([("a/x.xmp", "one"), ("b/y.xmp", "two")], "name string, text string")
+    assert all(r["written"] for r in reporting.write_sidecars(df, str(tmp_path), "name", "text").collect())
+    again = df.withColumn("text", F.lit("three"))
+    assert not any(r["written"] for r in reporting.write_sidecars(again, str(tmp_path), "name", "text").collect())
+    assert (tmp_path / "a/x.xmp").read_text() == "one"
+    assert all(r["written"] for r in reporting.write_sidecars(again, str(tmp_path), "name", "text", True).collect()) and (tmp_path / "b/y.xmp").read_text() == "three"
