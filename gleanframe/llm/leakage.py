@@ -51,12 +51,14 @@ def plain(text: str) -> str:
     return text.casefold()
 
 
-_CUT = re.compile(r"(?<=\w)(?:(?:</?[A-Za-z][^<>]*>)+|[-\u00ad\u2010\u2011]\s*[\r\n]\s*)(?=\w)")
+# begins with the mark, which is rare, and looks back from there
+_CUT = re.compile(r"(?:<(?<=\w<)/?[A-Za-z][^<>]*>(?:</?[A-Za-z][^<>]*>)*|[-\u00ad\u2010\u2011](?<=\w.)[^\S\r\n]*[\r\n]\s*)(?=\w)")
+_BROKEN = ("-\n", "-\r", "- \n", "- \r", "-\t", "\u00ad", "\u2010", "\u2011")
 
 
 def uncut(text: str | None) -> str | None:
     """The text with words put together that markup or the end of a line cuts; NULL where there are none."""
-    if not text or not ("<" in text or "\n" in text or "\r" in text):
+    if not text or not ("<" in text or any(m in text for m in _BROKEN)):
         return None
     out = _CUT.sub("", text)
     return out if len(out) < len(text) else None
