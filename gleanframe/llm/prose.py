@@ -78,8 +78,7 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     base = base.withColumn("lines", F.col("t")).withColumn("t", F.when(F.col("ascii") | ~F.col("t").rlike(_SOLID), F.col("t")).otherwise(F.regexp_replace("t", f"{_SOLID}{{1,2}}", " $0 ")))
     base = base.withColumn("flat", F.trim(F.when(F.col("ascii"), F.regexp_replace("t", narrow, " ")).otherwise(F.regexp_replace("t", wide, " "))))
     base = base.withColumn("w", F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " ")))
-    # without symbols; in ASCII texts these are known without Unicode classes
-    base = base.withColumn("solid_text", F.when(F.col("ascii"), F.regexp_replace("flat", "[^A-Za-z0-9 ]+", "")).otherwise(F.regexp_replace("flat", r"[^\p{L}\p{M}\p{Nd} ]+", "")))
+    base = base.withColumn("solid_text", F.regexp_replace("flat", r"[^\p{L}\p{M}\p{Nd} ]+", ""))
     base = base.withColumn("bare", F.lower("solid_text"))
     folded = F.when(F.col("ascii"), F.col("bare")).otherwise(F.translate("bare", _ACCENTED, _BASES))
     base = base.withColumn("bare", F.filter(F.split(folded, " "), lambda x: x != ""))
@@ -103,13 +102,15 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
     # counts of characters are lengths before and after removing their runs
     of = lambda runs, c="flat": F.char_length(c) - F.char_length(F.regexp_replace(c, runs, ""))
     base = base.withColumn("n_symbols", F.char_length("flat") - F.char_length("solid_text"))
-    base = base.withColumn("n_digits", F.when(F.col("ascii"), F.char_length("solid_text") - F.char_length(F.regexp_replace("solid_text", "[0-9]+", ""))).otherwise(of(r"\p{Nd}+", "solid_text")))
+    base = base.withColumn("n_digits", of(r"\p{Nd}+", "solid_text"))
     base = base.withColumn("n_letters", F.greatest(solid - F.col("n_symbols") - F.col("n_digits"), F.lit(0)))
     # Latin letters are all letters of an ASCII text
     base = base.withColumn("plain", F.when(F.col("ascii"), F.col("solid_text")).otherwise(F.translate("solid_text", _ACCENTED + "ıøæœ", _BASES + "ioao")))
     base = base.withColumn("latin", F.when(F.col("ascii"), F.col("n_letters")).otherwise(of("[A-Za-z]+", "plain")))
     latin, vowels = F.col("latin"), of("[AEIOUYaeiouy]+", "plain")
-    cells = lambda x: F.regexp_count(x, F.lit(r"[|\t;,/·‖、，；،]| {3,}"))
+    # classes of ASCII marks alone are looked up in a table, which others are not
+    plainly = lambda a, b: F.when(F.col("ascii"), a).otherwise(b)
+    cells = lambda x: plainly(F.regexp_count(x, F.lit(r"[|\t;,/]| {3,}")), F.regexp_count(x, F.lit(r"[|\t;,/·‖、，；،]| {3,}")))
     lines_of = held(lambda x: F.lit(True))
     frequent = sorted({x.translate(str.maketrans(_ACCENTED, _BASES)) for x in COMMON})
     return base.select(
@@ -126,10 +127,10 @@ def statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
         F.when(latin >= 20, vowels / latin).otherwise(0.4).alias("vowel_ratio"),
         F.coalesce(F.array_max(F.transform("w", F.char_length)), F.lit(0)).cast("double").alias("longest_word"),
         share(F.size(F.array_distinct("bare")), n).alias("distinct_ratio"),
-        share(of(r"[|\t;,/·‖、，；،#={}\[\]<>\\]+", "lines"), n).alias("delimiter_ratio"),
+        share(plainly(of(r"[|\t;,/#={}\[\]<>\\]+", "lines"), of(r"[|\t;,/·‖、，；،#={}\[\]<>\\]+", "lines")), n).alias("delimiter_ratio"),
         share(F.size(F.filter("w", lambda x: x.rlike(r"\p{L}\p{Nd}|\p{Nd}\p{L}|\p{Ll}\p{Lu}"))), n).alias("mixed_ratio"),
         share(F.col("n_letters"), solid).alias("letter_ratio"),
-        share(F.regexp_count("flat", F.lit(r"[.!?…](?<=\p{L}.)[.!?…]*(?= |$)|[。！？।؟]")), n).alias("sentence_ratio"),
+        share(plainly(F.regexp_count("flat", F.lit(r"[.!?](?<=[A-Za-z].)[.!?]*(?= |$)")), F.regexp_count("flat", F.lit(r"[.!?…](?<=\p{L}.)[.!?…]*(?= |$)|[。！？।؟]"))), n).alias("sentence_ratio"),
         share(F.regexp_count("flat", F.lit(r"(?:^| )\p{Lu}")), n).alias("caps_ratio"),
     )
 
