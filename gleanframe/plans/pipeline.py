@@ -108,7 +108,17 @@ def suffix_matches(spark, sf):
     return refine.match_suffix(s.select(F.concat(F.lit("/archive/x/"), "id").alias("path")), "path", declared, "file")
 
 
-@PIPELINE.add("capped_winners")
+_CAPPED = "WITH RECURSIVE " + SEL[5:] + """, w AS (SELECT shoot, winner AS id, count(*) AS wins FROM v WHERE winner IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT w.shoot, w.id, lower(trim(coalesce(s.label, ''))) AS k, lower(trim(coalesce(CAST(s.scene AS VARCHAR), ''))) AS d, row_number() OVER (PARTITION BY w.shoot ORDER BY wins DESC, w.id) AS rn FROM w JOIN sel s ON s.id = w.id),
+f(shoot, rn, id, why, held) AS (SELECT shoot, 0, CAST(NULL AS VARCHAR), '', CAST([] AS STRUCT(k VARCHAR, d VARCHAR)[]) FROM (SELECT DISTINCT shoot FROM o) UNION ALL
+ SELECT shoot, rn, id, why, CASE WHEN why = '' THEN list_append(held, {'k': k, 'd': d}) ELSE held END FROM (
+  SELECT o.shoot, o.rn, o.id, o.k, o.d, f.held, CASE WHEN o.k = '' THEN 'no kind' WHEN o.d = '' THEN 'no detail'
+    WHEN len(list_filter(f.held, lambda h: h.k = o.k)) >= 2 OR len(list_filter(f.held, lambda h: h.k = o.k AND h.d = o.d)) > 0 THEN 'repeated kind' WHEN len(f.held) >= 12 THEN 'limit reached' ELSE '' END AS why
+  FROM f JOIN o ON o.shoot = f.shoot AND o.rn = f.rn + 1))
+SELECT shoot, id AS item, why = '' AS kept, why AS reason FROM f WHERE id IS NOT NULL"""
+
+
+@PIPELINE.add("capped_winners", _CAPPED)
 def capped_winners(spark, sf):
     """Winners of a shoot's votes by number of wins: at most two of a label, the second from another scene, twelve in all."""
     wins = votes(spark, sf).where("winner IS NOT NULL").groupBy("shoot", F.col("winner").alias("id")).agg(F.count("*").alias("wins"))
