@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.operators.duplicates import FIELDS, Rule, Views, duplicate_components
 from gleanframe.operators.similarity import exact_twins
-from gleanframe.session import col, materialize, spread
+from gleanframe.session import col, materialize
 
 Ranker = Callable[[pd.DataFrame, int, bool], Sequence]
 FAILED = "(judge failed, by score)"
@@ -43,8 +43,7 @@ def judged_round(rows: DataFrame, keys: Sequence[str], k: str, ranker: Ranker, f
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", batch int, item {kinds['item']}, place int, reason string, failed boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable").drop_duplicates("item").reset_index(drop=True)
+    def judge(pdf: pd.DataFrame) -> tuple[list, bool]:
         most, answer = min(int(pdf[k].iloc[0]), len(pdf)), None
         for n in range(attempts):
             try:
@@ -52,15 +51,27 @@ def judged_round(rows: DataFrame, keys: Sequence[str], k: str, ranker: Ranker, f
                 break
             except Exception:  # noqa: BLE001 - whatever a plug-in raises is a failed attempt
                 time.sleep(pause * (n + 1))
-        failed = answer is None
         known = set(pdf["item"])
-        picks = list(dict.fromkeys(i for i in (_without_copies(pdf, most, rule) if failed else answer) if i in known))[:most]
-        place = {i: n + 1 for n, i in enumerate(picks)}
-        lost = "Not selected in final comparison" if final else "Not selected by judge"
-        reason = [(FAILED if failed else "") if i in place else lost for i in pdf["item"]]
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, "batch": pdf.batch, "item": pdf["item"], "place": pd.array([place.get(i) for i in pdf["item"]], dtype="Int32"), "reason": reason, "failed": failed})
+        return list(dict.fromkeys(i for i in (_without_copies(pdf, most, rule) if answer is None else answer) if i in known))[:most], answer is None
+
+    lost = "Not selected in final comparison" if final else "Not selected by judge"
 
-    out = materialize(spread(rows, *keys, "batch").groupBy(*keys, "batch").applyInPandas(run, schema), "judged")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable").drop_duplicates([*keys, "batch", "item"]).reset_index(drop=True)
+        place, reason, bad = np.full(len(pdf), None, dtype=object), np.full(len(pdf), lost, dtype=object), np.zeros(len(pdf), dtype=bool)
+        for _, at in pdf.groupby([*keys, "batch"], sort=False, dropna=False).indices.items():
+            picks, failed = judge(pdf.iloc[at].reset_index(drop=True))
+            rank = {i: n + 1 for n, i in enumerate(picks)}
+            for p, i in zip(at, pdf["item"].to_numpy()[at]):
+                if i in rank:
+                    place[p], reason[p] = rank[i], FAILED if failed else ""
+            bad[at] = failed
+        return pd.DataFrame({**{c: pdf[c] for c in keys}, "batch": pdf.batch, "item": pdf["item"], "place": pd.array(place, dtype="Int32"), "reason": reason, "failed": bad})
+
+    # many batches a task, each of bounded size: a call for every batch would cost more than most judgments
+    slots = max(1, -(-rows.select(*keys, "batch").distinct().count() // 200))
+    cut = rows.withColumn("slot", F.pmod(F.xxhash64(*keys, "batch"), F.lit(slots)))
+    out = materialize(cut.repartition(min(slots, 20_000), "slot").groupBy("slot").applyInPandas(run, schema), "judged")
     failed = out.groupBy(*keys, "batch").agg(F.max("failed").alias("failed"))
     if not failed.where("failed").isEmpty():
         bad, streak = 0, 0
@@ -77,17 +88,21 @@ def _merges(pools: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
     kinds = dict(pools.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("batch", kind="stable")
-        most = max(chunk, 2 * int(pdf.k.iloc[0]))
-        at, held, out = 0, 0, []
-        for n in pdf.n:
-            if held and held + n > most:
-                at, held = at + 1, 0
-            held += n
-            out.append(at)
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, "batch": pdf.batch, "merged": np.array(out, dtype=np.int32)})
-
-    return pools.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", batch int, merged int")
+        pdf = pdf.sort_values("batch", kind="stable").reset_index(drop=True)
+        merged = np.zeros(len(pdf), dtype=np.int32)
+        n, k = pdf.n.to_numpy(), pdf.k.to_numpy()
+        for group in pdf.groupby(list(keys), sort=False, dropna=False).indices.values():
+            at, held = 0, 0
+            for p in group:
+                if held and held + n[p] > max(chunk, 2 * int(k[p])):
+                    at, held = at + 1, 0
+                held += n[p]
+                merged[p] = at
+        return pd.DataFrame({**{c: pdf[c] for c in keys}, "batch": pdf.batch, "merged": merged})
+
+    n = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", batch int, merged int"
+    return pools.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("slot").applyInPandas(run, schema)
 
 
 def judged_tournament(rows: DataFrame, keys: Sequence[str], k: str, ranker: Ranker = by_score, chunk: int = 24, rule: Rule = Rule(), first_final: bool = False, **how) -> DataFrame:
