@@ -6,12 +6,14 @@ group's rows fall into strata by view. Every stratum gets a quota, by the square
 use are handed on to the others (water filling). Inside a stratum, directions of the vector (by the sides of a few planes), buckets and
 moments take turns, and better scores come first.
 
-What a stratum offers, eight rows for every slot and some more, is then compared: rows alike one already chosen from the group, or without
+What a stratum offers, eight rows for every slot and some more, is then walked: rows alike one already chosen from the group, or without
 a vector, wait until all quotas and the slots left over have been filled with rows that are not. Vectors are compared in 8 bits a value.
+The walk tells whether rows that were not offered could have changed it. Where they could, and where a size exceeds ``piece``, the group is
+walked anew over all its rows, in rounds.
 
-No group is ever collected: strata and turns are counted by aggregates, rankings keep only as many rows as a group may hand out, which Spark
-prunes in every partition before the exchange, and what is compared in one task is bounded by ``piece``: a larger size is chosen in pieces
-of the group, cut by the direction of the vectors, each with its own strata and quotas.
+No group is ever collected: strata and turns are counted by aggregates, rankings keep only as many rows as a stratum offers, which Spark
+prunes in every partition before the exchange. Rounds rank by range sorts, walk the ``window`` first open rows of a group in one task and
+test the others against what was taken in blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm import kmeans as km
-from gleanframe.session import col, materialize, spread
+from gleanframe.operators.ranks import numbered
+from gleanframe.session import col, forget, materialize, spread
+
+BLOCK = 8192  # rows of a group tested in one call against what a round took
 
 
 def mini_batch(points: DataFrame, k: int, steps: int = 8) -> np.ndarray:
@@ -85,43 +90,120 @@ def quotas(strata: DataFrame, group: Sequence[str], stratum: str, size: Column,
     return s.select(*strata.columns, F.col("quota").cast("long").alias("quota"))
 
 
-def chosen(x: np.ndarray, known: np.ndarray, stratum: np.ndarray, quota: np.ndarray, cosine: float) -> list[int]:
+def _vectors(small: pd.Series, dims: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(small), dtype=np.int8).reshape(len(small), dims).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+
+
+def _walk(x: np.ndarray, near: np.ndarray, stratum: np.ndarray, want: dict, room: int, cosine: float) -> list[int]:
+    """Rows taken in order that are not ``near``, up to ``room`` and, where ``want`` is not empty, what it leaves each stratum. Marks in
+    ``near`` what is alike a taken row, and the row itself, and lowers ``want``."""
+    out: list[int] = []
+    for i, s in enumerate(stratum):
+        if len(out) >= room:
+            break
+        if not near[i] and (not want or want[s] > 0):
+            out.append(i)
+            near |= x @ x[i] >= cosine
+            near[i] = True
+            if want:
+                want[s] -= 1
+    return out
+
+
+def chosen(x: np.ndarray, known: np.ndarray, stratum: np.ndarray, turn: np.ndarray, quota: np.ndarray, n: np.ndarray, cosine: float) -> tuple[list[int], bool]:
     """Rows taken of a pool in order of place, as many as the quotas of its strata add up to: first each stratum's quota of rows alike none
-    taken, then such rows of any stratum while slots are left, then the others in order."""
+    taken, then such rows of any stratum while slots are left, then the others in order. And whether all ``n`` rows of each stratum, of
+    which the pool may hold the first turns only, would give the same."""
     want = {s: int(q) for s, q in zip(stratum, quota)}
+    size = dict(zip(stratum, n))
     room = sum(want.values())
+    cut = {s: held for s, held in zip(*np.unique(stratum, return_counts=True)) if held < size[s]}
+    seen = [s for s in cut if known[stratum == s].any()]
     near = ~known  # what a row without a vector shows is not known
-    free = np.ones(len(x), dtype=bool)
-    out: list[int] = []
+    out = _walk(x, near, stratum, want, room, cosine)
+    proven = all(want[s] == 0 for s in seen)
+    # up to this turn the pool holds all rows
+    whole = min((cut[s] for s in seen), default=np.inf)
+    more = _walk(x, near, stratum, {}, room - len(out), cosine)
+    out += more
+    proven &= bool(len(more) == 0 or turn[more].max() <= whole) and (len(out) == room or whole == np.inf)
+    if len(out) < room:
+        free = np.ones(len(x), dtype=bool)
+        free[out] = False
+        rest = np.flatnonzero(free)[: room - len(out)].tolist()
+        out += rest
+        whole = min(cut.values(), default=np.inf)
+        proven &= bool(len(rest) == 0 or turn[rest].max() <= whole) and (len(out) == room or whole == np.inf)
+    return out, bool(proven)
 
-    def take(i: int) -> None:
-        free[i] = False
-        out.append(i)
-        if known[i]:
-            near[known & (x @ x[i] >= cosine)] = True
 
-    for i, s in enumerate(stratum):
-        if want[s] > 0 and not near[i]:
-            take(i)
-            want[s] -= 1
-    for strict in (True, False):
-        for i in range(len(x)):
-            if len(out) < room and free[i] and not (strict and near[i]):
-                take(i)
-    return out
+def _rounds(ranked: DataFrame, cosine: float, dims: int, window: int, top: int) -> DataFrame:
+    """``grp, item, view, place`` as :func:`chosen` takes them of all rows ``grp, view, item, turn, none, low, small, want, room, block``.
+
+    The ``window`` first open rows of every group are walked in one task; then rows alike one taken are dropped everywhere, in blocks, and
+    the next follow. A row before the last of a window is taken, alike one taken or of a stratum that wants no more: as in the plain walk."""
+    kinds = dict(ranked.dtypes)
+    by = ["turn", "none", "low", "item"]
+    first = Window.partitionBy("grp").orderBy(*by)
+    columns = ["grp", "view", "item", *by[:3], "small", "want", "room", "block"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    picked = f"grp {kinds['grp']}, item {kinds['item']}, view int, small binary, at long"
+    picks = ranked.sparkSession.createDataFrame([], picked + ", step int")
+    rest = materialize(ranked.where("view >= 0").select(*columns), "open")
+    step = 0
+
+    def walk(own):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(by, kind="stable").reset_index(drop=True)
+            want = dict(zip(pdf["view"], pdf.want)) if own else {}
+            at = _walk(_vectors(pdf.small, dims), np.zeros(len(pdf), dtype=bool), pdf["view"].to_numpy(), want, int(pdf.room.iloc[0]), cosine)
+            return pdf.iloc[at][["grp", "item", "view", "small"]].assign(at=np.arange(len(at)))
+
+        return run
+
+    def sweep(pdf: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) and len(new):
+            near = (_vectors(pdf.small, dims) @ _vectors(new.small, dims).T >= cosine).any(1) | pdf["item"].isin(new["item"]).to_numpy()
+            pdf = pdf.assign(want=pdf.want - pdf["view"].map(new["view"].value_counts()).fillna(0).astype("int64"), room=pdf.room - len(new))[~near]
+            pdf = pdf[pdf.room > 0]
+        return pdf[columns]
+
+    for own in (True, False):
+        while True:
+            head = rest.where("want > 0" if own else "true").withColumn("r", F.row_number().over(first)).where(F.col("r") <= window)
+            new = materialize(spread(head.select(*columns), "grp").groupBy("grp").applyInPandas(walk(own), picked).withColumn("step", F.lit(step)), "round")
+            if new.isEmpty():
+                break
+            picks, step = picks.unionByName(new), step + 1
+            # one entry for every block of a group that is still open
+            blocks = rest.select(F.col("grp").alias("g2"), F.col("block").alias("b2")).distinct()
+            told = new.join(blocks, F.col("grp") == F.col("g2")).select("grp", "item", "view", "small", F.col("b2").alias("block"))
+            left = materialize(rest.groupBy("grp", "block").cogroup(told.groupBy("grp", "block")).applyInPandas(sweep, schema), "open")
+            forget(rest)
+            rest = left
+    picks = picks.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("step", "at"))).select("grp", "item", "view", "place")
+    picks = materialize(picks, "taken")
+    # slots still free go to the first of the other rows
+    got = picks.groupBy("grp").agg(F.count("*").alias("got"))
+    free = ranked.select("grp", "item", "view", *by[:3], "room").join(picks.select("grp", "item"), ["grp", "item"], "left_anti")
+    free = free.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).join(got, "grp", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    free = free.where("r + got <= room").select("grp", "item", "view", (F.col("r") + F.col("got")).cast("int").alias("place"))
+    return picks.unionByName(free)
 
 
 def varied_subset(
     rows: DataFrame, group: str, item: str, vector: str, score: str, turns: Sequence[str], size: int | DataFrame, by: str = "sqrt", views: int | None = None, dims: int = 64,
-    fit_rows: int = 50_000, view_cosine: float = 0.9, piece: int = 1000,
+    fit_rows: int = 50_000, view_cosine: float = 0.9, piece: int = 1000, window: int = 10_000,
 ) -> DataFrame:
     """``<group>, <item>, view, place``: of each group ``size`` items, or all where it has fewer.
 
     ``size`` is a number, or a table ``<group>, size`` (a group not in it gets none). ``turns`` are columns, such as bucket and moment, whose
     values take turns inside a view. ``view`` is the k-means cluster (clusters whose centroids are alike by ``view_cosine`` are one view), -1
-    for rows without a valid vector, which form a view of their own; ``place`` is the order of choice in the group, or in its piece where
-    the size exceeds ``piece``. ``views`` is the number of centroids, by default the square root of the number of rows, 64 at least; they are
-    fitted on about ``fit_rows`` rows, or twenty a centroid; every row is assigned.
+    for rows without a valid vector, which form a view of their own; ``place`` is the order of choice in the group. ``views`` is the number
+    of centroids, by default the square root of the number of rows, 64 at least; they are fitted on about ``fit_rows`` rows, or twenty a
+    centroid; every row is assigned. Up to a size of ``piece`` a group is first walked in one task over what its strata offer; ``piece`` and
+    ``window``, the rows walked at once of a larger one, shape the work only.
 
     Defined cases: NULL groups and items do not count; an item given again counts once (with its greatest score); NULL or not-a-number
     scores rank last; a NULL turn value is a value of its own; equal scores go by the smaller item; an empty table gives no rows; further
@@ -162,34 +244,36 @@ def varied_subset(
     # one row per item: its best score, then the smallest view and turn values
     rank = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("low"), F.col("view"), *t, "small")
     once = seen.groupBy("grp", "item").agg(F.min(rank).alias("r")).select("grp", "item", "r.none", "r.low", "r.view", *[f"r.{a}" for a in t], "r.small")
-    pieces = F.least(F.ceil(F.col("want") / piece), F.lit(1 << 20)).cast("int")
-    once = (once.join(sizes, F.col("grp") == F.col("g2")).drop("g2") if sizes is not None else once.withColumn("want", F.lit(size))).where("want > 0")
-    # a piece holds whole directions as far as there are enough of them
-    once = once.withColumn("part", F.when(pieces > 1, F.pmod(F.xxhash64("side", F.when(pieces > 16, F.col("item"))), pieces)).otherwise(0).cast("int"))
-    once = materialize(once.withColumn("stratum", F.col("view").cast("long") * (1 << 20) + F.col("part")), "seen")
-    strata = once.groupBy("grp", "stratum").agg(F.count("*").alias("n"), F.max("want").alias("want"))
-    quota = quotas(strata, ["grp"], "stratum", F.col("want"), by)
-    # strata without a slot stand by, as many as may be needed, the largest first
-    stand = Window.partitionBy("grp").orderBy(F.desc("quota"), F.desc("n"), "stratum")
-    quota = quota.withColumn("turn", F.row_number().over(stand)).where(F.col("turn") <= 3 * F.col("want") + 8).select("grp", "stratum", "quota")
-    best = ["none", "low", "item"]
-    pool, most = once.drop("small"), 8 * min(top, piece) + 64
+    once = (once.join(sizes, F.col("grp") == F.col("g2")).drop("g2") if sizes is not None else once.withColumn("want", F.lit(size).cast("long"))).where("want > 0")
+    once = materialize(once, "seen")
+    strata = once.groupBy("grp", "view").agg(F.count("*").alias("n"), F.max("want").alias("want"))
+    quota = quotas(strata, ["grp"], "view", F.col("want"), by).select("grp", "view", "quota", "n")
     # first come the best of every (direction, bucket, moment) of a view, then the second best, and so on
-    for depth in range(len(t), 0, -1):
-        w = Window.partitionBy("grp", "stratum", *t[:depth]).orderBy(*([f"round{depth + 1}"] if depth < len(t) else []), *best)
-        pool = pool.withColumn(f"round{depth}", F.row_number().over(w)).where(F.col(f"round{depth}") <= most)
-    w = Window.partitionBy("grp", "stratum").orderBy("round1", *best)
-    pool = pool.withColumn("turn", F.row_number().over(w)).join(quota, ["grp", "stratum"]).where(F.col("turn") <= 8 * F.col("quota") + F.when(F.col("quota") > 0, 64).otherwise(16))
+    turning = [(f"round{d}", ["grp", "view", *t[:d]], [*([f"round{d + 1}"] if d < len(t) else []), "none", "low", "item"]) for d in range(len(t), -1, -1)]
+    pool, most = once.where(F.col("want") <= piece).drop("small", "want"), 8 * min(top, piece) + 64
+    for place, keys, order in turning:
+        pool = pool.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= most)
+    pool = pool.withColumnRenamed("round0", "turn").join(quota, ["grp", "view"]).where(F.col("turn") <= 8 * F.col("quota") + F.when(F.col("quota") > 0, 64).otherwise(16))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["turn", "none", "low", "item"], kind="stable").reset_index(drop=True)
-        x = np.frombuffer(b"".join(pdf.small), dtype=np.int8).reshape(len(pdf), dims).astype(np.float32)
-        known = pdf["view"].to_numpy() >= 0
-        x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-        at = chosen(x, known, pdf.stratum.to_numpy(), pdf.quota.to_numpy(), view_cosine)
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "item": pdf["item"].to_numpy()[at], "view": pdf["view"].to_numpy()[at], "place": np.arange(1, len(at) + 1)})
+        view = pdf["view"].to_numpy()
+        at, proven = chosen(_vectors(pdf.small, dims), view >= 0, view, pdf.turn.to_numpy(), pdf.quota.to_numpy(), pdf.n.to_numpy(), view_cosine)
+        return pd.DataFrame({"grp": pdf.grp.iloc[0], "item": pdf["item"].to_numpy()[at], "view": view[at], "place": np.arange(1, len(at) + 1), "proven": proven})
 
     # vectors go to what is offered only
-    offered = pool.select("grp", "part", "stratum", "item", "view", "turn", "none", "low", "quota").join(once.select("grp", "item", "small"), ["grp", "item"])
-    out = spread(offered, "grp", "part").groupBy("grp", "part").applyInPandas(choose, f"grp {kinds['grp']}, item {kinds['item']}, view int, place int")
+    offered = pool.select("grp", "item", "view", "turn", "none", "low", "quota", "n").join(once.select("grp", "item", "small"), ["grp", "item"])
+    out = materialize(spread(offered, "grp").groupBy("grp").applyInPandas(choose, f"grp {kinds['grp']}, item {kinds['item']}, view int, place int, proven boolean"), "chosen")
+    anew = out.where("NOT proven").select("grp").unionByName(once.where(F.col("want") > piece).select("grp")).distinct()
+    out = out.where("proven").drop("proven")
+    if not anew.isEmpty():
+        anew = materialize(anew, "anew")
+        whole = once.join(anew, "grp", "left_semi")
+        ranked = whole.drop("small", "want")
+        for place, keys, order in turning:
+            ranked = numbered(ranked, keys, [F.col(c) for c in order], place)
+        rooms = quota.groupBy("grp").agg(F.sum("quota").alias("room"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+        ranked = ranked.withColumnRenamed("round0", "turn").select("grp", "item", "view", "turn", "none", "low").join(whole.select("grp", "item", "small"), ["grp", "item"])
+        ranked = ranked.join(quota.select("grp", "view", F.col("quota").alias("want")), ["grp", "view"]).join(rooms, "grp").withColumn("block", F.pmod(F.xxhash64("item"), "blocks"))
+        out = out.unionByName(_rounds(materialize(ranked, "ranked"), view_cosine, dims, window, top))
     return out.withColumnsRenamed({"grp": group, "item": item})

@@ -204,3 +204,52 @@ def test_as_many_looks_as_there_can_be(spark, piece):
     assert len(out) == len({r["id"] for r in out}) == 80
     found = len({look_of[r["id"]] for r in out})
     assert found >= (0.95 if piece == 1000 else 0.8) * (20 + 8 + 40)
+
+
+def _copies(n_copies, n_looks):
+    """``n_copies`` of one look, before them in score, and other looks that share its view and direction."""
+    planes = np.random.default_rng(17).standard_normal((4, D))
+    rng = np.random.default_rng(11)
+    side = lambda x: tuple(planes @ x > 0)
+    a = np.eye(D)[0]
+    found = [a]
+    while len(found) <= n_looks:
+        b = rng.standard_normal(D)
+        b = 0.8 * a + 0.6 * (b - (b @ a) * a) / np.linalg.norm(b - (b @ a) * a)
+        if side(b) == side(a) and max(b @ x for x in found) < 0.85:
+            found.append(b)
+    rows = [("g", f"a{i:04}", a.tolist(), 2.0 + i, "b", 1) for i in range(n_copies)]
+    return rows + [("g", f"b{i}", b.tolist(), 1.0 - i / 100, "b", 1) for i, b in enumerate(found[1:])]
+
+
+def test_looks_behind_any_number_of_copies(spark):
+    """A look is found however many copies of another stand before it in its view."""
+    rows = _copies(400, 3) + [("h", f"n{i}", None, 1.0 + i, "b", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DDL)
+    got = varied.varied_subset(df, "g", "id", "v", "s", ["bucket", "moment"], 3, dims=D, views=1).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"]) if r["g"] == "g"] == ["a0399", "b0", "b1"]
+    assert {r["id"] for r in got if r["g"] == "h"} == {"n299", "n298", "n297"}
+
+
+def test_a_size_is_met_also_where_all_rows_are_one_look(spark):
+    df = spark.createDataFrame(_copies(200, 2), DDL)
+    got = varied.varied_subset(df, "g", "id", "v", "s", ["bucket", "moment"], 160, dims=D, views=1, piece=10).collect()
+    ids = [r["id"] for r in sorted(got, key=lambda r: r["place"])]
+    assert ids == ["a0199", "b0", "b1"] + [f"a{i:04}" for i in range(198, 41, -1)]
+
+
+@pytest.mark.parametrize("window", [3, 50])
+def test_rounds_choose_as_the_walk_over_all(spark, monkeypatch, window):
+    rng = np.random.default_rng(9)
+    centers = kmeans.unit(rng.standard_normal((8, D)))  # two fits may differ
+    monkeypatch.setattr(varied, "mini_batch", lambda points, k: centers)
+    rows = []
+    for g, n_looks in enumerate([3, 12, 20]):
+        cs = rng.standard_normal((n_looks, D))
+        for k in range(n_looks):
+            rows += [(f"g{g}", f"{k}-{i}", (cs[k] + 0.25 * rng.standard_normal(D)).tolist(), float(rng.integers(5)), f"b{i % 2}", i % 3) for i in range(1 + 4 * (k % 4))]
+        rows += [(f"g{g}", f"n{i}", None, 9.0, None, None) for i in range(4)]
+    df = spark.createDataFrame(rows, DDL)
+    sizes = spark.createDataFrame([("g0", 12), ("g1", 15), ("g2", 130)], "g string, size int")
+    take = lambda **how: {tuple(r) for r in varied.varied_subset(df, "g", "id", "v", "s", ["bucket", "moment"], sizes, dims=D, views=8, **how).collect()}
+    assert take(piece=1, window=window) == take()
