@@ -507,12 +507,12 @@ def typical(found: DataFrame, item: str, n: int = 3) -> DataFrame:
     return ranked.select("cluster_id", "size", "place", col(item))
 
 
-def kmeans_groups(rows: DataFrame, item: str, vector: str, weights: dict[str, float], k: int, dims: int = 64, hashed_dims: int = 64, fit_rows: int = 100_000, n: int = 3) -> DataFrame:
+def kmeans_groups(rows: DataFrame, item: str, vector: str, weights: dict[str, float], k: int, dims: int = 64, hashed_dims: int = 64, n: int = 3) -> DataFrame:
     """``cluster, size, place, <item>, angle``: k-means clusters of vectors with hashed weighted features, each with its ``n`` members nearest to the centroid.
 
     A row's vector at length one is followed by ``hashed_dims`` places to which every column of ``weights`` adds its weight, signed, where
-    the hash of its value says; so rows of one scene stand nearer than rows of equal look from two. At most ``k`` centroids are fitted on
-    about ``fit_rows`` rows, or twenty a centroid; every row is placed. Equal angles go by the smaller item.
+    the hash of its value says; so rows of one scene stand nearer than rows of equal look from two. At most ``k`` centroids are seeded and
+    fitted on all rows, and every row is placed. Equal angles go by the smaller item.
 
     Defined cases: a NULL item, and vectors that are NULL, not of ``dims`` values, not finite or all zero do not count; a NULL feature adds
     nothing; an item given again counts once (its smallest vector and features); an empty table gives no rows.
@@ -533,20 +533,20 @@ def kmeans_groups(rows: DataFrame, item: str, vector: str, weights: dict[str, fl
             yield pa.RecordBatch.from_arrays([b.column(0).filter(at), pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * width, pa.int32()), pa.array(both.ravel()))], ["id", "v"])
 
     made = base.mapInArrow(features, f"id {kind}, v array<float>")
-    total = base.count()
-    centers = km.fit(km.sample(made, "id", "v", width, max(fit_rows, 20 * k), total), k)
+    points = km.whole(made.groupBy("id").agg(F.min("v").alias("v")), "id", "v", width)
+    centers = km.fit(points, k, many=True)
     if not len(centers):
         return base.where(F.lit(False)).select(F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("place"), F.col("id").alias(item), F.lit(0.0).alias("angle"))
     sent = sc.broadcast(centers)
 
     def place(batches):
         for b in batches:
-            x = km.unit(np.asarray(b.column(1).flatten(), dtype=np.float32).reshape(-1, width))
-            s = x @ sent.value.T
-            at = s.argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array(np.round(_angle(s[np.arange(len(x)), at].astype(np.float64)), 6))], ["id", "cluster", "angle"])
+            x = km.from_bytes(b.column("vec"))
+            if len(x):
+                at, cos = km.nearest(x, sent.value)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(at, pa.int32()), pa.array(np.round(_angle(cos.astype(np.float64)), 6))], ["id", "cluster", "angle"])
 
-    placed = materialize(made.mapInArrow(place, f"id {kind}, cluster int, angle double").groupBy("id").agg(F.min(F.struct("cluster", "angle")).alias("x")).select("id", "x.*"), "placed")
+    placed = materialize(points.mapInArrow(place, f"id {kind}, cluster int, angle double"), "placed")
     w = Window.partitionBy("cluster").orderBy("angle", "id")
     near = placed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
     return near.join(placed.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("cluster", "size", "place", F.col("id").alias(item), "angle")

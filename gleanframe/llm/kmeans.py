@@ -3,7 +3,8 @@
 Vectors are a dense column, scaled to length one, optionally followed by hashed features: each categorical column adds its weight with a
 hashed sign at a hashed place. Seeding draws, in a few passes, about ``oversample * k`` candidates with a chance in proportion to their
 squared distance from the candidates so far, weights them by the rows nearest to them, and reduces them to ``k`` on the driver; a few
-Lloyd passes follow. Only centroids, candidates and sums of a bounded number of partitions ever reach the driver.
+Lloyd passes follow, over a sample or over all rows. Only centroids, candidates, sums of a bounded number of partitions and, over all rows,
+one sum a centroid ever reach the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +102,32 @@ def sample(rows: DataFrame, item: str, vector: str, dims: int, most: int, total:
     return materialize(picked.repartition(PARTS, "u").mapInArrow(keep, "u long, vec binary"), "fit")
 
 
-def fit(points: DataFrame, k: int, rounds: int = 4, oversample: float = 0.5, passes: int = 3, seed: int = 3) -> np.ndarray:
-    """At most ``k`` unit centroids of the rows of :func:`sample`; an empty table gives none."""
+def whole(rows: DataFrame, item: str, vector: str, dims: int) -> DataFrame:
+    """``id, u, vec`` as :func:`sample` gives them, of all rows with a valid vector, in as many partitions as they have."""
+    picked = rows.select(col(item).alias("id"), F.xxhash64(col(item), F.lit(1)).alias("u"), col(vector).cast("array<float>").alias("v"))
+
+    def keep(batches):
+        for b in batches:
+            x, ok = matrix(b.column(2), dims)
+            at = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(at), b.column(1).filter(at), to_bytes(x[ok])], ["id", "u", "vec"])
+
+    return materialize(picked.mapInArrow(keep, f"id {dict(picked.dtypes)['id']}, u long, vec binary"), "fit")
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and cosine of the nearest centroid of each row, in slices that keep the table of cosines small."""
+    at, cos = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.float32)
+    step = max(1, (1 << 24) // max(len(centers), 1))
+    for s in range(0, len(x), step):
+        sims = x[s : s + step] @ centers.T
+        at[s : s + step] = sims.argmax(1)
+        cos[s : s + step] = sims.max(1)
+    return at, cos
+
+
+def fit(points: DataFrame, k: int, rounds: int = 4, oversample: float = 0.5, passes: int = 3, seed: int = 3, many: bool = False) -> np.ndarray:
+    """At most ``k`` unit centroids of the rows of :func:`sample`, or, with ``many`` for the number of partitions, of :func:`whole`; an empty table gives none."""
     sc = points.sparkSession.sparkContext
     first = points.orderBy("u").limit(1).collect()
     if not first:
@@ -116,7 +143,7 @@ def fit(points: DataFrame, k: int, rounds: int = 4, oversample: float = 0.5, pas
                 x = from_bytes(b.column("vec"))
                 if not len(x):
                     continue
-                d = np.maximum(2 - 2 * (x @ sent.value.T).max(1), 0)
+                d = np.maximum(2 - 2 * nearest(x, sent.value)[1], 0)
                 total += float(d.sum())
                 if chance:
                     u = ((b.column("u").to_numpy().astype(np.uint64) * np.uint64(2654435761 + 2 * salt)) >> np.uint64(11)).astype(np.float64) / 2**53
@@ -132,15 +159,16 @@ def fit(points: DataFrame, k: int, rounds: int = 4, oversample: float = 0.5, pas
         new = points.mapInArrow(cost_and_draw(centers, oversample * k / total, seed + r), "v binary").collect()  # about oversample * k rows
         if new:
             centers = np.concatenate([centers, from_bytes([x["v"] for x in new])])
-    mass, _ = _sums(points, centers)
+    mass, _ = _sums(points, centers, many)
     centers = _reduce(centers, mass, k, seed)
     for _ in range(passes):
-        n, s = _sums(points, centers)
+        n, s = _sums(points, centers, many)
         centers = np.where(n[:, None] > 0, _unit(s), centers).astype(np.float32)
     return centers
 
 
-def _sums(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(points: DataFrame, centers: np.ndarray, many: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Number and vector sum of the rows nearest to each centroid. The sums of ``many`` partitions are added up before they are collected."""
     sent = points.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
@@ -149,11 +177,24 @@ def _sums(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for b in batches:
             x = from_bytes(b.column("vec"))
             if len(x):
-                a = (x @ c.T).argmax(1)
+                a, _ = nearest(x, c)
                 n += np.bincount(a, minlength=len(c))
                 np.add.at(s, a, x)
+        if many:
+            at = np.flatnonzero(n)
+            for i in range(0, len(at), 4096):
+                some = at[i : i + 4096]
+                ends = pa.array(np.arange(len(some) + 1) * c.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.ListArray.from_arrays(ends, pa.array(s[some].ravel()))], ["c", "n", "s"])
+            return
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], ["n", "s"])
 
+    if many:
+        parts = points.mapInArrow(run, "c int, n double, s array<double>").groupBy("c")
+        n, s = np.zeros(len(centers)), np.zeros(centers.shape)
+        for r in parts.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).collect():  # a row a centroid
+            n[r["c"]], s[r["c"]] = r["n"], r["s"]
+        return n, s
     got = points.mapInArrow(run, "n binary, s binary").collect()  # one row a partition of the bounded sample
     n = sum(np.frombuffer(r["n"]) for r in got)
     s = sum(np.frombuffer(r["s"], dtype=np.float32).reshape(centers.shape).astype(np.float64) for r in got)

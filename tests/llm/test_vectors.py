@@ -137,6 +137,16 @@ def test_hashed_features_part_equal_looks(spark):
     assert clusters.kmeans_groups(df.limit(0), "id", "v", {"scene": 1.0}, 2, D).count() == 0
 
 
+def test_groups_are_fitted_on_all_rows(spark):
+    """A look that no row of a sample of 100,000 by the hash of the item shows has a group of its own, of all its rows."""
+    ids = spark.range(150_000).where("pmod(xxhash64(id), 1000000) >= 700000").limit(12)
+    few = {r["id"] for r in ids.collect()}
+    look = lambda at: F.array(*[F.lit(float(i == at)) for i in range(D)])
+    df = spark.range(150_000).withColumn("v", F.when(F.col("id").isin(*few), look(1)).otherwise(look(0)))
+    got = clusters.kmeans_groups(df.union(df.where(F.col("id") < 50)), "id", "v", {}, 2, D, 4, n=12).collect()
+    assert {r["id"] for r in got if r["size"] == 12} == few and {r["size"] for r in got} == {12, 149_988}
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------------------------
 
 DDL = "g string, id string, v array<float>, s double, bucket string, moment int"
