@@ -18,7 +18,8 @@ C = f"WITH c AS (SELECT DISTINCT ON (id) {_KEEP} FROM candidates ORDER BY id), k
 
 def candidates(spark, sf, *columns):
     """Distinct candidates with clean buckets and scores; only the columns asked for are read."""
-    rows = table(spark, sf, "candidates").select("id", *columns).dropDuplicates(["id"])
+    raw = table(spark, sf, "candidates") if isinstance(sf, str) else sf
+    rows = raw.select("id", *columns).dropDuplicates(["id"])
     if "bucket" in columns:
         rows = rows.withColumn("bucket", F.lower(F.trim(F.coalesce("bucket", F.lit("none")))))
     if "score" in columns:
@@ -164,12 +165,20 @@ def pick_components(spark, sf):
 _SIGNALS = ["aesthetic", "focus", "editorial", "composition", "distinctiveness", "uncertainty"]
 
 
+def _preselected(spark, sf):
+    """The scored candidates without their vectors, and the shortlists of every shoot and bucket."""
+    raw = table(spark, sf, "candidates").withColumn("look", F.xxhash64("dino"))
+    rows = materialize(scored(spark, raw, "bucket", "scene", "burst", "moment", "digest", "look", *_SIGNALS), "scored")
+    looks = raw.select(F.col("id").alias("item"), "look", F.col("dino").alias("whole"))
+    n = rows.groupBy("shoot", "bucket").agg(F.count("*").alias("n")).withColumn("cap", sc.shortlist_cap(F.col("n"), sc.pick_budget(F.col("n"))))
+    capped = rows.withColumnRenamed("id", "item").join(n.drop("n"), ["shoot", "bucket"])
+    return rows, preselection.diverse_preselection(capped, ["shoot", "bucket"], "cap", looks=looks)
+
+
 @SELECTION.add("diverse_preselection")
 def diverse_preselection(spark, sf):
     """Of every shoot and bucket a shortlist for variety and quality, each row with its reason."""
-    rows = scored(spark, sf, "bucket", "scene", "burst", "moment", "digest", "dino", *_SIGNALS).withColumnsRenamed({"id": "item", "dino": "whole"})
-    n = rows.groupBy("shoot", "bucket").agg(F.count("*").alias("n")).withColumn("cap", sc.shortlist_cap(F.col("n"), sc.pick_budget(F.col("n"))))
-    return preselection.diverse_preselection(rows.join(n.drop("n"), ["shoot", "bucket"]), ["shoot", "bucket"], "cap")
+    return _preselected(spark, sf)[1]
 
 
 @SELECTION.add("quota_shortlist")

@@ -8,7 +8,9 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gleanframe.operators import preselection
 from gleanframe.operators.preselection import diverse_preselection
 
 DDL = (
@@ -189,3 +191,44 @@ def test_caps_and_cases(spark):
     assert chosen(spark, odd[:0]) == {}
     none = [row(f"{i:02}", score=float(i), cap=5) for i in range(9)]
     assert [w for _, w in chosen(spark, none)["g"]][-2:] == ["exploration"] * 2  # rows without a vector are never new
+
+
+def test_a_walk_in_batches_equals_comparing_all_rows_with_each_pick(monkeypatch):
+    """Half of a group is chosen, as shortlists do. Besides its batches, a walk makes some million of the two million pairs of rows and picks."""
+    n, cap = 2000, 1000
+    g = np.random.default_rng(5)
+    x = g.standard_normal((n, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    quality = np.sort(1 / (1 + np.exp(-2 * g.standard_normal(n))))[::-1]
+    zero = np.zeros(n)
+    q = {"item": np.arange(n), "scene": g.integers(0, 5, n), "block": np.full(n, -1), "place_of": g.integers(0, 30, n), "quality": quality, "apart": g.random(n), "uncertainty": zero}
+    pairs = 0
+    plain_nearest = preselection.nearest
+
+    def counted(views, rows, picks):
+        nonlocal pairs
+        pairs += len(rows) * len(picks)
+        return plain_nearest(views, rows, picks)
+
+    monkeypatch.setattr(preselection, "nearest", counted)
+    no = float("-inf")
+    w = preselection.Walk(q, {"n": n, "n_scenes": 5, "champions": {}}, [(x, np.ones(n, bool))], {"coverage": no, "explore": no, "pose": {}})
+    assert preselection.walk(w, [], cap, 0.5, 2, False, False)
+    got = [i for i, _, _ in w.out]
+    want = sorted(int(np.flatnonzero(q["scene"] == s)[0]) for s in range(5))
+    like = x @ x.T
+    while len(want) < cap:
+        closest = np.clip(like[:, want].max(1), -1, 1)
+        fresh = ~np.isin(q["place_of"], q["place_of"][want])
+        worth = preselection.coverage_worth(quality, closest, fresh) if len(want) < cap - 2 else preselection.explore_worth(closest, q["apart"], zero)
+        worth[want] = no
+        want.append(int(np.argmax(worth)))
+    assert got == want
+    assert pairs < n * cap * 2 / 3
+
+
+def test_vectors_may_come_by_themselves(spark):
+    rows = frame(spark, random_rows(7, 90, 20)).drop("subject", "context").withColumn("look", F.xxhash64("whole"))
+    looks = rows.select("item", "look", "whole")
+    told = lambda d: sorted(map(tuple, d.collect()))
+    assert told(diverse_preselection(rows.drop("whole"), ["grp"], "cap", looks=looks.unionByName(looks))) == told(diverse_preselection(rows.drop("look"), ["grp"], "cap"))
