@@ -353,12 +353,15 @@ def prepared(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = r.withColumn("uncertainty", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_known(F.col("uncertainty")) if "uncertainty" in rows.columns else F.lit(0.0), F.lit(0.0)))))
     # the logistic of the distance from the median over the robust scale
     r = materialize(r, "clean")
-    center = medians(r, keys, "score", "mid")
     key_join = lambda a, b: a.join(b.withColumnsRenamed({k: f"kj_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"kj_{k}")) for k in keys], "left").drop(*[f"kj_{k}" for k in keys])
-    r = materialize(key_join(r, center).withColumn("off", F.abs(F.col("score") - F.col("mid"))), "clean")
-    r = key_join(r, medians(r, keys, "off", "mad"))
+    # only the scores go through the medians; all columns meet both at once
+    scores = r.select(*keys, "score")
+    center = medians(scores, keys, "score", "mid")
+    spreads = medians(key_join(scores, center).select(*keys, F.abs(F.col("score") - F.col("mid")).alias("off")), keys, "off", "mad")
+    r = key_join(r, key_join(center, spreads))
     x = (F.col("score") - F.col("mid")) / F.greatest(1.4826 * F.col("mad"), F.lit(1.0))
-    r = r.withColumn("quality", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))).drop("mid", "off", "mad")
+    r = r.withColumn("quality", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))).drop("mid", "mad")
+    r = materialize(r, "quality")
     scenes = r.groupBy(*keys, "scene").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.count("*").alias("n_scenes"))
     rank = F.struct((-F.col("score")).alias("s"), F.col("item").alias("i"))
     facts = {"n": F.count("*"), "any_burst": F.max(F.col("block") >= 0)}
@@ -369,7 +372,7 @@ def prepared(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         facts[f"ch_{s}"] = F.min(F.when(v.isNotNull(), F.struct((-v).alias("v"), rank.alias("r"))))
         if s != "distinctiveness":
             facts[f"mn_{s}"], facts[f"mx_{s}"] = F.min(s), F.max(s)
-    r = with_stats(key_join(r, scenes), keys, **facts)
+    r = key_join(with_stats(r, keys, **facts), scenes)
     apart = [F.when(F.col(f"mx_{s}") - F.col(f"mn_{s}") > 1e-6, F.abs((F.col(s) - F.col(f"mn_{s}")) / (F.col(f"mx_{s}") - F.col(f"mn_{s}")) - F.col("quality"))) for s in signals if s != "distinctiveness"]
     r = r.withColumn("apart", F.coalesce(F.greatest(*apart, F.lit(0.0)) if apart else F.lit(0.0), F.lit(0.0)))
     for s in signals:

@@ -8,7 +8,7 @@ from gleanframe.functions import scalars as sc
 from gleanframe.operators import duplicates, judging, preselection, scoring, selection, similarity
 from gleanframe.operators.duplicates import Rule
 from gleanframe.plans.registry import Registry, table
-from gleanframe.session import materialize
+from gleanframe.session import materialize, spread
 
 SELECTION = Registry()
 
@@ -207,10 +207,25 @@ def _burst_batches(keys):
 @SELECTION.add("burst_chunks")
 def burst_chunks(spark, sf):
     """Batches that keep bursts together, of what the shortlists of each shoot and bucket hold."""
-    rows = scored(spark, sf, "scene", "burst")
-    short = diverse_preselection(spark, sf).select("shoot", "bucket", F.col("item").alias("id"))
-    pool = short.join(rows.drop("shoot"), "id")
-    return pool.groupBy("shoot", "bucket").applyInPandas(_burst_batches(["shoot", "bucket"]), "id string, chunk int")
+    return _chunked(*_preselected(spark, sf))
+
+
+def _chunked(rows, picks):
+    """Batches of 24 of the shortlists; what fits one batch is one."""
+    keys = ["shoot", "bucket"]
+    short = materialize(picks.select(*keys, F.col("item").alias("id")), "short")
+    sized = short.join(short.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    one = sized.where("n <= 24").select("id", F.lit(0).alias("chunk"))
+    pool = sized.where("n > 24").select("id", *keys).join(rows.select("id", "scene", "burst", "score"), "id")
+    batches = _burst_batches(keys)
+
+    def run(frames):
+        import pandas as pd
+
+        for group in preselection.grouped(frames, keys):
+            yield batches(pd.DataFrame(group))
+
+    return one.unionByName(spread(pool, *keys).sortWithinPartitions(*keys).mapInPandas(run, "id string, chunk int"))
 
 
 @SELECTION.add(

@@ -192,6 +192,18 @@ def test_tournament_is_the_top(spark):
     assert [r["id"] for r in selection.tournament(df, ["g"], "id", "s", 5).orderBy("place").collect()] == want
 
 
+def test_burst_chunks_of_many_batches():
+    """The fullest batch a block fits is found without looking at all batches; this took some ten seconds before."""
+    import time
+
+    r = random.Random(1)
+    blocks = [int(r.expovariate(1) * 15_000) for _ in range(60_000)]
+    start = time.process_time()
+    got = selection.burst_chunks(list(range(60_000)), blocks)
+    assert time.process_time() - start < 3
+    assert sorted(i for b in got for i in b) == list(range(60_000)) and max(map(len, got)) <= 24 and len(got) == 2500
+
+
 def test_burst_chunks_keep_blocks():
     got = selection.burst_chunks(list(range(30)), [0] * 10 + [1] * 10 + [2] * 10, 16)
     assert sorted(x for b in got for x in b) == list(range(30)) and all(len(b) <= 16 for b in got) and len(got) == 2
